@@ -83,9 +83,9 @@ def numbered_in_groups(
 
 def _ranges(df: DataFrame, key: str, ranges: int) -> tuple[DataFrame, DataFrame]:
     """Rows with the range their integer key falls in, and the row count before each range."""
-    low = df.agg(F.min(key).cast("long")).scalar()
-    width = df.agg(F.floor((F.max(key) - F.min(key)).cast("long") / ranges) + 1).scalar()
-    ranged = df.withColumn("_range", F.floor((F.col(key).cast("long") - low) / width))
+    bounds = df.agg(F.struct(F.min(key).cast("long").alias("low"), F.max(key).cast("long").alias("high"))).scalar()
+    width = F.floor((bounds["high"] - bounds["low"]) / ranges) + 1
+    ranged = df.withColumn("_range", F.floor((F.col(key).cast("long") - bounds["low"]) / width))
     # At most ``ranges`` + 1 rows reach this window and the broadcast of its result.
     before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
@@ -93,7 +93,10 @@ def _ranges(df: DataFrame, key: str, ranges: int) -> tuple[DataFrame, DataFrame]
 
 
 def dense_index(df: DataFrame, key: str, into: str = "index", ranges: int = RANGES) -> DataFrame:
-    """Gap-free index from 0 in the order of a unique integer key, without one global sort task."""
+    """Gap-free index from 0 in the order of a unique integer key, without one global sort task.
+
+    Reads ``df`` three times, twice for its key only: hand it a table rather than a long plan.
+    """
     ranged, counts = _ranges(df, key, ranges)
     inside = Window.partitionBy("_range").orderBy(key)
     return (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ticketspark import schemas as S
 from ticketspark.functions.prompts import BATCH, SCENARIO
-from ticketspark.functions.text import SPACE_CLASS, SPACE_RANGES
+from ticketspark.functions.text import SPACE_RANGES
 from ticketspark.operators.distribution import MIX_WORDING
 from ticketspark.operators.taxonomy import issue_rows, product_rows
 
@@ -20,6 +20,7 @@ def _rows(rows) -> str:
 
 LABEL_LIST = ", ".join(_text(x) for x in S.LABELS)
 VOCABULARY = f"vocabulary(label_id, label) AS (VALUES {_rows(enumerate(S.LABELS))})"
+_SPACE_CLASS = "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in SPACE_RANGES)
 _SPACES = "concat(" + ", ".join(f"chr({c})" for a, b in SPACE_RANGES for c in range(a, b + 1)) + ")"
 
 
@@ -28,7 +29,7 @@ def _strip(column: str) -> str:
 
 
 def _words(column: str) -> str:
-    return f"len(regexp_extract_all({column}, '[^{SPACE_CLASS}]+'))"
+    return f"len(regexp_extract_all({column}, '[^{_SPACE_CLASS}]+'))"
 
 
 TICKETS = """tickets AS (

@@ -27,7 +27,7 @@ from ticketspark.operators import (
 )
 from ticketspark.plans import bindings as B
 from ticketspark.plans import scoring
-from ticketspark.session import scratch_path
+from ticketspark.session import scratch_path, written
 from ticketspark.sources import artifacts, datasets, tables, uploads
 from ticketspark.streaming import limits, pending, windows
 
@@ -602,7 +602,8 @@ def _existing(spark, sf_dir):
 
 
 def _todo(spark, sf_dir):
-    return generation.still_to_do(B.grid_rows(spark, sf_dir), _existing(spark, sf_dir))
+    """Numbering reads its input more than once, so the rows to do are written first."""
+    return written(generation.still_to_do(B.grid_rows(spark, sf_dir), _existing(spark, sf_dir)), "todo")
 
 
 @query
@@ -623,7 +624,7 @@ def prompt_batches(spark, sf_dir):
 def _replies(spark, sf_dir):
     """Replies to every batch, one array element per row. By batch number in turn: valid at once;
     too short, then fenced; prose, numbers, then an array in prose; never valid."""
-    todo = generation.chunked(_todo(spark, sf_dir).select("ticket_id", "customer_sentiment", "product_sub_category"))
+    todo = written(generation.chunked(_todo(spark, sf_dir)), "chunks")
     said = F.concat_ws(" ", F.lit("My"), "product_sub_category", F.lit("left me"), "customer_sentiment", F.lit('\n"really"'), "ticket_id")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", said.alias("said")))), lambda r: r["said"])
     batches = todo.groupBy("batch_id").agg(ordered.alias("texts"))

@@ -17,7 +17,7 @@ from ticketspark.functions.scores import argmax, score_map, softmax, top_label
 from ticketspark.functions.text import is_blank, log_preview
 from ticketspark.operators.events import event_lines
 from ticketspark.operators.selection import select_for_scoring, selection_mode
-from ticketspark.session import scratch_path
+from ticketspark.session import written
 from ticketspark.sources.tables import append_predictions
 
 log = logging.getLogger(__name__)
@@ -150,13 +150,11 @@ def run_batch(
     """
     spark = tickets.sparkSession
     mode = selection_mode(since, ticket_ids, dry_run)
-    staged_path = scratch_path(spark, f"scored-{run_id}")
     started = spark.range(1).select(F.current_timestamp().alias("t")).first()["t"]
     staged = None
     try:
         selected = select_for_scoring(tickets, predictions, model_version, since, ticket_ids)
-        score(selected, scorer).write.parquet(staged_path)
-        staged = spark.read.parquet(staged_path)
+        staged = written(score(selected, scorer), f"scored-{run_id}")
         if not dry_run:
             rows = prediction_rows(staged, model_version, model_run_id, run_id, run_ts)
             append_predictions(rows, predictions_path, run_id)
