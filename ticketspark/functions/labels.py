@@ -30,8 +30,9 @@ def decode(label_id: Column) -> Column:
 
 
 def shift(label: Column, by: Column) -> Column:
-    """F5. Move along the ordinal scale and stop at its ends."""
-    return decode(F.greatest(F.lit(0), F.least(F.lit(len(S.LABELS) - 1), encode(label) + by)))
+    """F5. Move along the ordinal scale and stop at its ends; NULL outside the vocabulary."""
+    moved = F.greatest(F.lit(0), F.least(F.lit(len(S.LABELS) - 1), encode(label) + by))
+    return F.when(label.isin(S.LABELS), decode(moved))
 
 
 def percent(share: Column) -> Column:
