@@ -134,6 +134,12 @@ def test_M3_bad_sizes(grid):
         dataset.stratified_split(grid, "priority", "ticket_id", sizes=(0.5, 0.2, 0.1))
 
 
+def test_M3_too_few_rows(spark):
+    df = spark.range(12).select("id", F.when(F.col("id") == 0, "low").otherwise("high").alias("priority"))
+    with pytest.raises(Exception, match="too few rows"):
+        dataset.split_quotas(df, "priority").collect()
+
+
 def _mix(spark, low, medium, high, urgent):
     rows = [(x,) for x, n in zip(S.LABELS, (low, medium, high, urgent)) for _ in range(n)]
     return spark.createDataFrame(rows, "priority string")

@@ -103,6 +103,13 @@ def _largest_remainder(classes: DataFrame, label: str, size: str, total: Column,
     )
 
 
+def _drawn(size: Column, total: Column, share: float, n_classes: Column, whole: Window) -> Column:
+    """Rows to take off, rounded up; fails where a label has a single row or would get none."""
+    drawn = F.ceil(total * F.lit(share)).cast("long")
+    thin = (F.min(size).over(whole) < 2) | (drawn < n_classes) | (total - drawn < n_classes)
+    return F.when(thin, F.raise_error(F.lit("too few rows to split by label")).cast("long")).otherwise(drawn)
+
+
 def split_quotas(df: DataFrame, label: str, sizes: tuple[float, float, float] = S.SPLIT_SIZES) -> DataFrame:
     """M3. Rows per label for train, val and test; one row per label.
 
@@ -112,13 +119,18 @@ def split_quotas(df: DataFrame, label: str, sizes: tuple[float, float, float] =
     if abs(train + val + test - 1.0) > 1e-6:
         raise ValueError(f"split sizes must sum to 1, got {train + val + test}")
     whole = Window.partitionBy(F.lit(0))
+    n_classes = F.count(F.lit(1)).over(whole)
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).withColumn("_total", F.sum("_n").over(whole))
-    test_total = F.ceil(F.col("_total") * F.lit(float(test))).cast("long")
-    first = _largest_remainder(counts, label, "_n", F.col("_total"), F.col("_total") - test_total, "_rest_n")
+    test_total = _drawn(F.col("_n"), F.col("_total"), float(test), n_classes, whole)
+    first = _largest_remainder(
+        counts.withColumn("_train_total", F.col("_total") - test_total),
+        label, "_n", F.col("_total"), F.col("_train_total"), "_rest_n",
+    )
     second = first.withColumn("_rest_total", F.sum("_rest_n").over(whole))
-    val_total = F.ceil(F.col("_rest_total") * F.lit(val / (train + val))).cast("long")
+    val_total = _drawn(F.col("_rest_n"), F.col("_rest_total"), val / (train + val), n_classes, whole)
     third = _largest_remainder(
-        second, label, "_rest_n", F.col("_rest_total"), F.col("_rest_total") - val_total, "train"
+        second.withColumn("_train_total", F.col("_rest_total") - val_total),
+        label, "_rest_n", F.col("_rest_total"), F.col("_train_total"), "train",
     )
     return third.select(
         label, "train", (F.col("_rest_n") - F.col("train")).alias("val"), (F.col("_n") - F.col("_rest_n")).alias("test")
