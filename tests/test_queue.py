@@ -122,3 +122,23 @@ def test_J10_purge(spark, make_tickets, make_predictions):
     assert column(left["predictions"], "prediction_id") == ["p2"]
     assert sorted(column(left["feedback"], "feedback_id")) == ["f2", "f3"]
     assert column(left["rate_limit_counters"], "user_id") == ["b"]
+
+
+def test_bucketed_tables_need_no_shuffle(spark, sf_dir, tmp_path):
+    from ticketspark.operators.selection import unscored
+    from ticketspark.plans import bindings as B
+    from ticketspark.sources.tables import save_bucketed
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tickets = save_bucketed(B.tickets(spark, sf_dir), "bucketed_tickets", str(tmp_path / "t"), 4)
+        predictions = save_bucketed(B.predictions(spark, sf_dir), "bucketed_predictions", str(tmp_path / "p"), 4)
+        for df in (queue.with_newest_prediction(tickets, predictions), unscored(tickets, predictions, "N")):
+            assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+        names = ("ticket_id", "prediction_id")
+        plain = queue.with_newest_prediction(B.tickets(spark, sf_dir), B.predictions(spark, sf_dir))
+        assert pairs(queue.with_newest_prediction(tickets, predictions), *names) == pairs(plain, *names)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE IF EXISTS bucketed_tickets")
+        spark.sql("DROP TABLE IF EXISTS bucketed_predictions")

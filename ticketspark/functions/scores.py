@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,15 +11,24 @@ from ticketspark import schemas as S
 from ticketspark.functions.labels import decode
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with ``value`` computed once, however often ``then`` mentions it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def softmax(logits: Column) -> Column:
-    """F11. Probabilities of an array with one logit per label; the maximum is subtracted first.
+    """F11. Probabilities of an ``array<double>``; the maximum is subtracted first.
 
-    Spelled out per label, without lambdas, so that it compiles and shares its parts.
+    Each intermediate is bound once: spelled out per label the formula repeats itself until the
+    generated method is too long for the JVM to compile, and everything in its stage slows down.
     """
-    each = [F.get(logits, F.lit(i)) for i in range(len(S.LABELS))]
-    weights = [F.exp(x - F.greatest(*each)) for x in each]
-    total = sum(weights[1:], weights[0])
-    return F.when(logits.isNotNull(), F.array(*[w / total for w in weights]))
+    def weights(x: Column) -> Column:
+        return F.transform(x, lambda one: F.exp(one - F.array_max(x)))
+
+    def shares(w: Column) -> Column:
+        return F.transform(w, lambda one: one / F.aggregate(w, F.lit(0.0), lambda total, each: total + each))
+
+    return _let(_let(logits, weights), shares)
 
 
 def argmax(values: Column) -> Column:

@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 
 from ticketspark import schemas as S
 from ticketspark.functions.ids import iso_utc, row_id
-from ticketspark.functions.scores import argmax, score_map, softmax, top_label
+from ticketspark.functions.labels import decode
+from ticketspark.functions.scores import argmax, score_map, softmax
 from ticketspark.functions.text import is_blank, log_preview
 from ticketspark.operators.events import event_lines
 from ticketspark.operators.selection import select_for_scoring, selection_mode
@@ -85,13 +86,13 @@ def score(selected: DataFrame, scorer: Scorer) -> DataFrame:
 
     Keeps a preview and the length in place of the text, so what is staged stays small.
     """
-    best = F.get("probabilities", argmax(F.col("probabilities")))
-    return scorer(selected).select(
+    best = scorer(selected).withColumn("_best", argmax(F.col("probabilities")))
+    return best.select(
         "ticket_id",
         is_blank("ticket_text").alias("skipped"),
-        top_label(F.col("probabilities")).alias("predicted_priority"),
-        best.alias("confidence"),
-        F.when(F.col("probabilities").isNotNull(), score_map(F.col("probabilities"))).alias("all_scores"),
+        decode(F.col("_best")).alias("predicted_priority"),
+        F.get("probabilities", F.col("_best")).alias("confidence"),
+        score_map(F.col("probabilities")).alias("all_scores"),
         log_preview("ticket_text").alias("input_preview"),
         F.length("ticket_text").alias("input_length_chars"),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ticketspark import schemas as S
-from ticketspark.operators.selection import select_for_scoring
+from ticketspark.operators.selection import broadcast_if_few, select_for_scoring
 from ticketspark.plans.scoring import Scorer, prediction_rows, score
 from ticketspark.sources.tables import RUN, append_run, read_table
 
@@ -27,16 +27,20 @@ def score_pending_stream(
     """R3. Score arriving tickets that this version has not scored yet, then stop.
 
     Each micro-batch is one run of the predictions table. Ids follow from ticket, version and
-    batch, and a repeated batch ignores and then replaces what its first try wrote.
+    batch, and a repeated batch ignores and then replaces what its first try wrote. The history is
+    cut down to the tickets of the batch while it is scanned, so a small batch does not shuffle it.
     """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         run_id = f"stream-{batch_id:012d}"
-        history = read_table(batch.sparkSession, predictions_path, HISTORY)
-        others = history.where(F.col(RUN) != run_id)
-        selected = select_for_scoring(batch, others, model_version)
+        batch.persist()
+        history = read_table(batch.sparkSession, predictions_path, HISTORY).where(F.col(RUN) != run_id)
+        arrived = broadcast_if_few(batch.select("ticket_id").distinct())
+        known = history.select("ticket_id", "model_version").join(arrived, "ticket_id", "left_semi")
+        selected = select_for_scoring(batch, known, model_version)
         rows = prediction_rows(score(selected, scorer), model_version, model_run_id, run_id, run_ts)
         append_run(rows, predictions_path, run_id)
+        batch.unpersist()
 
     return (
         tickets.writeStream.foreachBatch(on_batch)
