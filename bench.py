@@ -1,8 +1,8 @@
 """Time the headline queries: prints one JSON line.
 
-``BENCH_SF_DIR`` names the tables, ``BENCH_CPUS`` the local cores. Each query runs once to warm up
-and then three times; the median counts, from building the plan to the last row computed. Rows per
-second are over the rows of the tables that the query reads.
+``BENCH_SF_DIR`` names the tables, ``BENCH_CPUS`` the local cores. All queries run once to warm up;
+then each runs three times and the median counts, from building the plan to the last row computed.
+Rows per second are over the rows of the tables that the query reads.
 """
 
 from __future__ import annotations
@@ -64,6 +64,7 @@ def main() -> None:
     seconds, rate = {}, {}
     for name in names:
         run(QUERIES[name], spark, sf_dir)
+    for name in names:
         seconds[name] = round(statistics.median(run(QUERIES[name], spark, sf_dir) for _ in range(3)), 3)
         rows = sum(spark.read.parquet(f"{sf_dir}/{t}.parquet").count() for t in HEADLINES.get(name, ()))
         rate[name] = round(rows / seconds[name])

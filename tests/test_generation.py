@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from conftest import column, nulls_first, pairs
 from pyspark.sql import functions as F
@@ -14,6 +16,16 @@ REPLIES = {
     'Sure [ok]: ["a"]': None,
     '["line\\nbreak", "quo\\"te", "é"]': ["line\nbreak", 'quo"te', "é"],
     '["a]", "[b"]': ["a]", "[b"],
+    '```json\u3000["a"]\u00a0```': ["a"],
+    '["raw\ttab"]': None,
+    '["\\u00e9\\ud83d\\ude00"]': ["é😀"],
+    '["a"] and ["b"]': None,
+    '["a"]]': None,
+    '["a"], ["b"]': None,
+    '["a"]}': ["a"],
+    '["a",]': None,
+    '["bad \\x escape"]': None,
+    ' [ "a" ,\n"b" ] ': ["a", "b"],
     "[]": [],
     "": None,
     "plain text": None,
@@ -38,6 +50,12 @@ def test_F16(spark):
     assert column(nothing.select(reply_strings(F.col("raw")).alias("x")), "x") == [None]
 
 
+def test_F16_long_replies(spark):
+    text = "x" * 300_000 + '\\"' * 50_000
+    df = spark.createDataFrame([(json.dumps([text, "b"]),)], "raw string")
+    assert column(df.select(reply_strings(F.col("raw")).alias("x")), "x") == [[text, "b"]]
+
+
 @pytest.fixture
 def todo(spark):
     rows = spark.createDataFrame([(i,) for i in (2, 3, 5, 8, 13, 21, 34)], "ticket_id long")

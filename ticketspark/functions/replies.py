@@ -12,20 +12,22 @@ FENCE_OPEN = r"(?i)\A```(?:json)?\s*"
 FENCE_CLOSE = r"\s*```\z"
 WIDEST_ARRAY = r"(?s)\[.*\]"
 
+# A JSON array of strings and nothing else. JSON parsers stop after the first value and turn
+# numbers into strings, so the shape is decided here. All loops are possessive: one pass, no stack.
+_CHARS = r'[^"\\\x00-\x1f]*+'
+_STRING = rf'"{_CHARS}(?:\\(?:["\\/bfnrt]|u[0-9a-fA-F]{{4}}){_CHARS})*+"'
+_GAP = r"[ \t\n\r]*+"
+STRING_ARRAY = rf"\A{_GAP}\[{_GAP}(?:{_STRING}{_GAP}(?:,{_GAP}{_STRING}{_GAP})*+)?+\]{_GAP}\z"
+
 
 def _strings(text: Column) -> Column:
     """``array<string>`` if ``text`` is a JSON array holding only strings, else NULL."""
-    parsed = F.try_parse_json(text)
-    shape = F.schema_of_variant(parsed)
-    items = F.try_variant_get(parsed, "$", "array<string>")
-    # The shape of ["a", null] is still ARRAY<STRING>, so nulls are looked for separately.
-    only_strings = (shape == "ARRAY<STRING>") & F.forall(items, lambda item: item.isNotNull())
-    return F.when(only_strings | (shape == "ARRAY<VOID>") & (F.size(items) == 0), items)
+    return F.when(text.rlike(STRING_ARRAY), F.from_json(text, "array<string>"))
 
 
 def reply_strings(raw: Column) -> Column:
     """F16. The whole reply without its code fence, else the widest ``[...]`` inside it."""
     unfenced = strip(F.regexp_replace(strip(raw), FENCE_OPEN, ""))
-    whole = _strings(F.regexp_replace(unfenced, FENCE_CLOSE, ""))
+    whole = _strings(strip(F.regexp_replace(unfenced, FENCE_CLOSE, "")))
     found = F.nullif(F.regexp_extract(raw, WIDEST_ARRAY, 0), F.lit(""))
     return F.coalesce(whole, _strings(found))
