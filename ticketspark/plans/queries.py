@@ -27,7 +27,7 @@ from ticketspark.operators import (
 )
 from ticketspark.plans import bindings as B
 from ticketspark.plans import scoring
-from ticketspark.session import scratch_path, written
+from ticketspark.session import scratch_path, spread, written
 from ticketspark.sources import artifacts, datasets, tables, uploads
 from ticketspark.streaming import limits, pending, windows
 
@@ -290,7 +290,7 @@ def clean_counters(spark, sf_dir):
 
 @query
 def word_counts(spark, sf_dir):
-    return B.documents(spark, sf_dir).select(
+    return spread(B.documents(spark, sf_dir), "ticket_id").select(
         "ticket_id",
         text.word_count("ticket_text").alias("words"),
         F.length(text.strip("ticket_text")).alias("stripped_chars"),
@@ -511,7 +511,7 @@ def eval_artifacts(spark, sf_dir):
 
 
 def _scored(spark, sf_dir, scorer=None):
-    selected = B.documents(spark, sf_dir).select("ticket_id", "ticket_text")
+    selected = spread(B.documents(spark, sf_dir).select("ticket_id", "ticket_text"), "ticket_id")
     return scoring.score(selected, scorer or scoring.column_scorer(B.text_features, B.text_logits))
 
 
@@ -564,7 +564,7 @@ def _run_ts():
 def scoring_job(spark, sf_dir):
     """Two runs over the documents; the second finds nothing left to score."""
     path = scratch_path(spark, "predictions")
-    docs = B.documents(spark, sf_dir).select(
+    docs = spread(B.documents(spark, sf_dir), "ticket_id").select(
         F.col("ticket_id").cast("string").alias("ticket_id"), F.col("ticket_text").alias("text")
     )
     scorer = scoring.column_scorer(B.text_features, B.text_logits)
@@ -587,7 +587,7 @@ def tfidf_terms(spark, sf_dir):
 @query
 def baseline_model(spark, sf_dir):
     """M6: fitted on the documents' own priorities, then applied to them."""
-    labelled = B.documents(spark, sf_dir).join(
+    labelled = spread(B.documents(spark, sf_dir), "ticket_id").join(
         B.document_predictions(spark, sf_dir).select("ticket_id", F.col("predicted_priority").alias("priority")), "ticket_id"
     )
     model = baseline.fit_baseline(labelled, max_iter=20)

@@ -55,3 +55,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """For costly work per row: a table with fewer splits than there are cores, such as one small
+    file, is moved by ``key`` so that all cores take part. Large tables pass unchanged.
+
+    Meant for a plain scan: asking a plan with shuffles for its partitions would run them.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, key)
