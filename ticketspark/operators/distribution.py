@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketspark import schemas as S
@@ -19,42 +19,44 @@ def label_counts(df: DataFrame, label: str) -> DataFrame:
     return zeros.unionByName(found).groupBy("label").agg(F.sum("n").alias("n"))
 
 
-def mix_check(df: DataFrame, label: str = "priority", tolerance: float = S.MIX_TOLERANCE) -> DataFrame:
-    """A4, A5. Share of each label against its target, over all rows.
-
-    ``off_target`` is a strict comparison; ``signed_diff`` shows only where it holds. An empty
-    input gives NULL shares: nothing can be checked.
-    """
-    spark = df.sparkSession
-    targets = spark.createDataFrame(list(S.TARGET_MIX.items()), "label string, target double")
-    counts = label_counts(df, label)
-    total = counts.agg(F.sum("n")).scalar()
-    share = F.try_divide(F.col("n"), total)
+def _mix(df: DataFrame, label: str, tolerance: float) -> DataFrame:
+    """Targets next to counts; one pass over ``df``, the rest is a row per label."""
+    targets = df.sparkSession.createDataFrame(list(S.TARGET_MIX.items()), "label string, target double")
+    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
+    counts = label_counts(df, label).withColumn("total", total)
+    share = F.try_divide(F.col("n"), F.col("total"))
     diff = share - F.col("target")
-    # Both sides are grouped by label: a handful of rows.
     return (
-        targets.join(counts, "label")
+        counts.join(F.broadcast(targets), "label")  # four rows
         .withColumn("share", share)
         .withColumn("off_target", F.abs(diff) > tolerance)
         .withColumn("signed_diff", F.when(F.abs(diff) > tolerance, diff))
-        .select("label", "n", "share", "target", "off_target", "signed_diff")
     )
 
 
+def mix_check(df: DataFrame, label: str = "priority", tolerance: float = S.MIX_TOLERANCE) -> DataFrame:
+    """A4, A5. Share of each label against its target, over all rows.
+
+    ``off_target`` is a strict comparison; ``signed_diff`` shows only where it holds. An empty
+    input gives NULL shares: nothing can be checked.
+    """
+    return _mix(df, label, tolerance).select("label", "n", "share", "target", "off_target", "signed_diff")
+
+
 def mix_warnings(df: DataFrame, label: str = "priority", tolerance: float = S.MIX_TOLERANCE) -> DataFrame:
     """A4. One warning per label that is off target; one in all when there is nothing to check."""
-    spark = df.sparkSession
     if label not in df.columns:
-        return spark.createDataFrame([(MIX_UNKNOWN,)], "warning string")
-    checked = mix_check(df, label, tolerance)
-    off = checked.where("off_target").select(
-        F.format_string(
-            MIX_WORDING, "label", F.col("share") * 100, F.col("target") * 100,
-            F.abs(F.col("signed_diff")) * 100, F.lit(tolerance * 100),
-        ).alias("warning")
+        return df.sparkSession.createDataFrame([(MIX_UNKNOWN,)], "warning string")
+    off = F.format_string(
+        MIX_WORDING, "label", F.col("share") * 100, F.col("target") * 100,
+        F.abs(F.col("signed_diff")) * 100, F.lit(tolerance * 100),
+    )
+    empty = F.col("total") == 0
+    return (
+        _mix(df, label, tolerance).where(empty | F.col("off_target"))
+        .select(F.when(empty, F.lit(MIX_UNKNOWN)).otherwise(off).alias("warning"))
+        .distinct()
     )
-    empty = checked.agg(F.sum("n").alias("n")).where("n = 0").select(F.lit(MIX_UNKNOWN).alias("warning"))
-    return off.unionByName(empty)
 
 
 def apply_rules(df: DataFrame, strict: bool = True) -> DataFrame:

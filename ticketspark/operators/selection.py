@@ -38,8 +38,7 @@ def by_ids(tickets: DataFrame, ids: DataFrame | Sequence) -> DataFrame:
     """P4, J5. Exactly these tickets, scored or not; an empty list selects nothing."""
     if not isinstance(ids, DataFrame):
         kind = tickets.schema["ticket_id"].dataType.simpleString()
-        spark = SparkSession.getActiveSession()
-        ids = spark.createDataFrame([(i,) for i in ids], f"ticket_id {kind}")
+        ids = tickets.sparkSession.createDataFrame([(i,) for i in ids], f"ticket_id {kind}")
     return tickets.join(ids.select("ticket_id").distinct(), "ticket_id", "left_semi")
 
 

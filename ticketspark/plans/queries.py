@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -527,24 +528,28 @@ def score_batch(spark, sf_dir):
     return _score_columns(_scored(spark, sf_dir))
 
 
-def _load_model():
-    """The linear scorer of the documents as a Python model."""
-    import re
+def _model_loader():
+    """The linear scorer of the documents as a Python model. Inner functions travel to the workers
+    by value, so these need not have this package installed."""
+    spaces = text.SPACES
 
-    word, mark = re.compile(f"[^{text.SPACES}]+"), re.compile("[!?]")
+    def load():
+        word, mark = re.compile(f"[^{spaces}]+"), re.compile("[!?]")
 
-    def model(texts):
-        words = np.array([len(word.findall(t)) for t in texts]) + 1.0
-        marks = np.array([len(mark.findall(t)) for t in texts]) / words
-        size = np.log(words)
-        return np.stack([4 - size, 1.2 + 0.2 * size, 0.6 * size - 0.8 + 2 * marks, size - 4 + 8 * marks], axis=1)
+        def model(texts):
+            words = np.array([len(word.findall(t)) for t in texts]) + 1.0
+            marks = np.array([len(mark.findall(t)) for t in texts]) / words
+            size = np.log(words)
+            return np.stack([4 - size, 1.2 + 0.2 * size, 0.6 * size - 0.8 + 2 * marks, size - 4 + 8 * marks], axis=1)
 
-    return model
+        return model
+
+    return load
 
 
 @query
 def score_batch_python(spark, sf_dir):
-    return _score_columns(_scored(spark, sf_dir, scoring.batch_scorer(_load_model)))
+    return _score_columns(_scored(spark, sf_dir, scoring.batch_scorer(_model_loader())))
 
 
 @query
