@@ -91,6 +91,13 @@ def test_M2_exact_count(spark):
     assert _noisy(spark, [], rate=0.07) == []
 
 
+def test_M2_M3_plans_have_no_cross_product(spark):
+    df = spark.range(100).select("id", labels.decode((F.col("id") % 4).cast("int")).alias("priority"))
+    for out in (dataset.apply_noise(df, "priority", "id"), _split(df)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
 def test_M2_one_level_only(spark):
     middle = ["medium", "high"] * 500
     moved = _moved(_noisy(spark, middle, rate=1.0))

@@ -9,7 +9,7 @@ from ticketspark import schemas as S
 from ticketspark.functions.ids import seeded_hash
 from ticketspark.functions.labels import encode, shift
 from ticketspark.operators.distribution import apply_rules
-from ticketspark.operators.ranking import rank_cutoffs
+from ticketspark.operators.ranking import rank_cutoff, rank_cutoffs
 from ticketspark.operators.taxonomy import issue_rows, product_rows
 
 # --- Grid ----------------------------------------------------------------------------------------
@@ -71,13 +71,11 @@ def apply_noise(
     the label as it was.
     """
     chosen = seeded_hash(seed, F.col(key))
-    hashed = df.select(F.lit(0).alias("_all"), chosen.alias("_hash"))
-    n = F.count(F.lit(1))
-    ranks = hashed.groupBy("_all").agg(
-        F.lit("last").alias("name"),
-        F.least(n, F.greatest(F.lit(1), F.bround(n * F.lit(float(rate)), 0))).cast("long").alias("rank"),
-    )
-    cutoff = rank_cutoffs(hashed, ranks, "_all").agg(F.max("cutoff")).scalar()
+
+    def last(n: Column) -> Column:
+        return F.least(n, F.greatest(F.lit(1), F.bround(n * F.lit(float(rate)), 0))).cast("long")
+
+    cutoff = rank_cutoff(df.select(chosen.alias("_hash")), last).agg(F.max("cutoff")).scalar()
     step = F.when(F.substring(seeded_hash(seed, F.lit("step"), F.col(key)), 1, 1) < "8", F.lit(-1)).otherwise(1)
     moved = F.when(chosen <= cutoff, shift(F.col(label), step)).otherwise(F.col(label))
     return df.withColumn(label, moved)

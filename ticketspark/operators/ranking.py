@@ -5,7 +5,7 @@ Every order used here is total, so results do not depend on partitioning.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -126,29 +126,55 @@ def first_rows(df: DataFrame, key: str, n: int, ranges: int = RANGES) -> DataFra
     return df.where(F.coalesce(F.col(key) <= last_key.scalar(), F.lit(n > 0)))
 
 
+def _histogram(hashed: DataFrame, group: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows with the range of their hash (its first four digits), and per group and range the rows
+    in it, the rows before it and the rows in all. At most 65,536 rows per group reach a window."""
+    ranged = hashed.select(*group, "_hash", F.substring("_hash", 1, 4).alias("_range"))
+    whole = Window.partitionBy(*(group or [F.lit(0)]))
+    before = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy(*group, "_range").agg(F.count(F.lit(1)).alias("_rows"))
+    return ranged, counts.withColumns({
+        "_before": F.coalesce(F.sum("_rows").over(before), F.lit(0)), "_n": F.sum("_rows").over(whole)
+    })
+
+
+def _at_edge(rank: Column) -> Column:
+    return (F.col("_before") < rank) & (F.col("_before") + F.col("_rows") >= rank)
+
+
+def _hash_at(ranged: DataFrame, edges: DataFrame, group: list[str]) -> DataFrame:
+    """Only the ranges named in ``edges``, one row per wanted rank, are ranked."""
+    inside = Window.partitionBy(*group, "name", "_range").orderBy("_hash")
+    return (
+        ranged.join(F.broadcast(edges), [*group, "_range"])
+        .withColumn("_rank", F.row_number().over(inside))
+        .where(F.col("_rank") == F.col("_need"))
+        .select(*group, "name", F.col("_hash").alias("cutoff"))
+    )
+
+
+def rank_cutoff(hashed: DataFrame, rank: Callable[[Column], Column]) -> DataFrame:
+    """Hash at one rank over all rows, the rank being a function of their number.
+
+    ``hashed`` has a hex column ``_hash`` that is unique per row. Exact, and nothing is sorted but
+    one range of the hash. One row with ``cutoff``; none for no rows.
+    """
+    ranged, counts = _histogram(hashed, [])
+    wanted = rank(F.col("_n"))
+    edges = counts.where(_at_edge(wanted)).select("_range", F.lit("").alias("name"), (wanted - F.col("_before")).alias("_need"))
+    return _hash_at(ranged, edges, []).select("cutoff")
+
+
 def rank_cutoffs(hashed: DataFrame, ranks: DataFrame, group: str) -> DataFrame:
-    """Hash value found at given ranks of each group: exact, and without sorting the data.
+    """The same per class and for several ranks: ``group``, ``name``, ``cutoff``.
 
-    ``hashed`` has ``group`` and a hex column ``_hash`` that is unique per row; ``ranks`` has
-    ``group``, ``name`` and ``rank``, a handful of rows per class of a closed vocabulary. The hash
-    is cut into 65,536 ranges by its first four digits, and only the range that holds the wanted
-    rank is ranked. Returns ``group``, ``name``, ``cutoff``.
+    ``ranks`` has ``group``, ``name`` and ``rank``, a handful of rows per class of a closed
+    vocabulary.
     """
-    ranged = hashed.select(group, "_hash", F.substring("_hash", 1, 4).alias("_range"))
-    # At most 65,536 rows per class reach this window.
-    upto = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranged, counts = _histogram(hashed, [group])
     edges = (
-        ranged.groupBy(group, "_range").agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn("_before", F.coalesce(F.sum("_rows").over(upto), F.lit(0)))
-        .join(F.broadcast(ranks), group)
-        .where((F.col("_before") < F.col("rank")) & (F.col("_before") + F.col("_rows") >= F.col("rank")))
+        counts.join(F.broadcast(ranks), group)
+        .where(_at_edge(F.col("rank")))
         .select(group, "_range", "name", (F.col("rank") - F.col("_before")).alias("_need"))
     )
-    inside = Window.partitionBy(group, "name", "_range").orderBy("_hash")
-    # ``edges`` has one row per class and name.
-    return (
-        ranged.join(F.broadcast(edges), [group, "_range"])
-        .withColumn("_rank", F.row_number().over(inside))
-        .where(F.col("_rank") == F.col("_need"))
-        .select(group, "name", F.col("_hash").alias("cutoff"))
-    )
+    return _hash_at(ranged, edges, [group])
