@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketspark.llm import bitsliced, exact_dedup, pieces, simple8b, toxicity
+from ticketspark.llm import bitsliced, exact_dedup, pieces, simple8b, toxicity, warc
+from ticketspark.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -89,3 +90,25 @@ WITH v AS (
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
+
+
+@query
+def op2_warc(spark, sf_dir):
+    packages = warc.write_packages(table(spark, sf_dir, "pages"), scratch_path(spark, "packages"))
+    return warc.read_packages(packages).drop("url")
+
+
+ORACLES["op2_warc"] = r"""
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(coalesce(html, '')) AS hex FROM pages
+), m AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload) AS last_id FROM p
+)
+SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(
+         ((CAST('0x' || substr(hex, CAST(i // 4 * 5 + 1 AS INTEGER), 5) AS BIGINT)) >> CAST(15 - i % 4 * 5 AS INTEGER)) % 32 + 1 AS INTEGER), 1)), '')
+         AS payload_digest,
+       CASE WHEN page_id = last_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = last_id THEN NULL ELSE last_id END AS refers_to
+FROM m
+"""
