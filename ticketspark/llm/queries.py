@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketspark.llm import bitsliced, exact_dedup, pieces, simple8b, toxicity, warc
+from ticketspark.llm import bitsliced, exact_dedup, pieces, simple8b, substring_dedup, toxicity, warc
 from ticketspark.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,3 +112,33 @@ SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes,
        CASE WHEN page_id = last_id THEN NULL ELSE last_id END AS refers_to
 FROM m
 """
+
+
+@query
+def op3_substring_dedup(spark, sf_dir):
+    kept = substring_dedup.remove_repeated(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLES["op3_substring_dedup"] = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), w AS (
+  SELECT doc_id, unnest(range(1, len(ws) - 33)) AS p, ws FROM d WHERE len(ws) >= 35
+), h AS (
+  SELECT doc_id, p, sha256(array_to_string(ws[p:p + 34], ' ')) AS h FROM w
+), g AS (
+  SELECT h FROM h GROUP BY h HAVING count(*) > 1
+), r AS (
+  SELECT DISTINCT doc_id, p + k AS q FROM h JOIN g USING (h), (SELECT unnest(range(35)) AS k)
+), t AS (
+  SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS q FROM d
+), k AS (
+  SELECT t.doc_id, t.q, t.ws[t.q] AS word, r.q IS NOT NULL AS gone FROM t LEFT JOIN r ON t.doc_id = r.doc_id AND t.q = r.q
+), s AS (
+  SELECT doc_id, CAST(count(*) FILTER (gone) AS BIGINT) AS n_removed,
+         string_agg(word, ' ' ORDER BY q) FILTER (NOT gone) AS kept FROM k GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN s USING (doc_id)
+"""
