@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketspark.llm import bitsliced, exact_dedup, pieces, simple8b, substring_dedup, toxicity, warc
+from ticketspark.llm import bagminhash, bitsliced, exact_dedup, pieces, simple8b, substring_dedup, toxicity, warc
 from ticketspark.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -142,3 +142,9 @@ WITH d AS (
 SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN s USING (doc_id)
 """
+
+
+@query
+def op8_near_duplicates(spark, sf_dir):
+    documents, _, _ = bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return documents.select("doc_id", "class_id", "class_size", "kept")
