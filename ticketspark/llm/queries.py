@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketspark.llm import bagminhash, bitsliced, exact_dedup, pieces, simple8b, substring_dedup, toxicity, warc
+from ticketspark.llm import bagminhash, bitsliced, exact_dedup, maxent_lm, pieces, simple8b, substring_dedup, toxicity, warc
 from ticketspark.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -148,3 +148,8 @@ FROM d LEFT JOIN s USING (doc_id)
 def op8_near_duplicates(spark, sf_dir):
     documents, _, _ = bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
     return documents.select("doc_id", "class_id", "class_size", "kept")
+
+
+@query
+def op9_maxent_lm(spark, sf_dir):
+    return maxent_lm.score_documents(table(spark, sf_dir, "documents"))

@@ -32,6 +32,9 @@ BYTE = mix(np.arange(256, dtype=np.uint64), 17)
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, 9, 10, 11, 12, 13]] = True
 
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 0x20  # A-Z only
+
 
 def buffer_of(column: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes of all texts, offsets of the texts in them); nulls are empty."""
@@ -45,8 +48,10 @@ def buffer_of(column: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Places, hashes and documents of all words of a column of texts."""
 
-    def __init__(self, column: pa.StringArray):
+    def __init__(self, column: pa.StringArray, lower: bool = False):
         self.raw, offsets = buffer_of(column)
+        if lower:
+            self.raw = LOWER[self.raw]
         self.n_docs = len(column)
         edge = np.zeros(len(self.raw) + 1, bool)
         edge[offsets] = True
