@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketspark.llm import bagminhash, bitsliced, exact_dedup, maxent_lm, pieces, simple8b, substring_dedup, toxicity, warc
+from ticketspark.llm import bagminhash, bitsliced, exact_dedup, maxent_lm, mixing, pieces, simple8b, substring_dedup, toxicity, warc
 from ticketspark.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -153,3 +153,9 @@ def op8_near_duplicates(spark, sf_dir):
 @query
 def op9_maxent_lm(spark, sf_dir):
     return maxent_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_mix_sources(spark, sf_dir):
+    mixed = mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mixed.select("doc_id", "source", "epoch", "n_tokens", "start", "place")
