@@ -195,8 +195,9 @@ def near_duplicates(
         most = open_.agg(F.max("n")).first()[0]
         if most is None:
             break
+        # The order is the same in all buckets, so that buckets with the same nodes have the same pivots.
         # Rank filters keep at most ``pivots`` rows of a bucket per task before any row moves.
-        rank = F.row_number().over(W.partitionBy("bucket").orderBy(F.xxhash64("bucket", "node"), "node"))
+        rank = F.row_number().over(W.partitionBy("bucket").orderBy(F.xxhash64("node"), "node"))
         chosen = open_.withColumn("rank", rank).filter((F.col("rank") <= pivots) & (F.col("rank") > before))
         chosen = chosen.select("bucket", F.col("node").alias("a"), F.col("component").alias("of_a"))
         met = chosen.join(open_, "bucket").filter("component <> of_a")

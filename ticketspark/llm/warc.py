@@ -103,7 +103,7 @@ def directory(file) -> dict[str, tuple[int, int, int]]:
     tail_size = min(size, 22 + NAME_LIMIT)
     tail = file.read_at(tail_size, size - tail_size)
     place = tail.rfind(END)
-    while place >= 0 and place + 22 + struct.unpack_from("<H", tail, place + 20)[0] != len(tail):
+    while place >= 0 and (place + 22 > len(tail) or place + 22 + struct.unpack_from("<H", tail, place + 20)[0] != len(tail)):
         place = tail.rfind(END, 0, place)
     if place < 0:
         raise ValueError("no end of a ZIP directory")
