@@ -10,10 +10,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Number of ranges a key is cut into before it is ranked; also bounds the broadcast offset tables.
-RANGES = 65_536
-# A group with more rows than this is ranked in slices.
-HOT_ROWS = 1_000_000
+from ticketspark.session import partitions, written
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -37,93 +34,80 @@ def last_value(df: DataFrame, key: str, value: str, position: str) -> DataFrame:
     return df.groupBy(key).agg(F.max_by(value, position).alias(value))
 
 
+def in_ranges(df: DataFrame, order: Sequence[Column], parts: int | None = None) -> DataFrame:
+    """Rows with ``_part``, their range of a total order.
+
+    Spark samples the order key, so ranges hold about the same number of rows whatever the key's values are: a
+    burst at one instant is cut by the columns behind it, an outlier moves no other row. The ranges are
+    written, because a second run could draw other bounds.
+    """
+    dealt = df.repartitionByRange(parts or partitions(df.sparkSession), *order)
+    return written(dealt.withColumn("_part", F.spark_partition_id()), "ranges")
+
+
 def numbered_in_groups(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column],
-    slice_of: Column,
-    into: str = "n",
-    hot_rows: int = HOT_ROWS,
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], into: str = "n", parts: int | None = None
 ) -> DataFrame:
-    """W3. Running number from 1 inside each group.
+    """W3. Running number from 1 inside each group, for groups of any size.
 
-    ``slice_of`` must not decrease along ``order``. Groups above ``hot_rows`` rows are numbered
-    slice by slice in separate tasks and shifted by the sizes of the slices before; all other
-    groups keep one slice. At most ``rows / hot_rows`` groups can be hot, so their list is small
-    enough to broadcast at any scale.
+    Groups lie one after the other in ranges. Inside a range a group is numbered alone; only the first group of a
+    range can have rows in ranges before it, so the shifts are at most one row per range.
     """
     keys = list(keys)
-    hot = (
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") > hot_rows)
-        .select(*[F.col(k).alias(f"_hot_{k}") for k in keys])
-    )
-    same_group = [F.col(k) == F.col(f"_hot_{k}") for k in keys]
-    is_hot = F.col(f"_hot_{keys[0]}").isNotNull()
-    sliced = (
-        df.join(F.broadcast(hot), same_group, "left")
-        .withColumn("_slice", F.when(is_hot, slice_of))
-        .drop(*[f"_hot_{k}" for k in keys])
+    rows = in_ranges(df, [*keys, *order], parts)
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = (
+        rows.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_rows"))
+        .withColumn("_shift", F.sum("_rows").over(before)).where("_shift > 0")
+        .select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_part").alias("_of_part"), "_shift")
     )
-    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        sliced.where(F.col("_slice").isNotNull())
-        .groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-        .drop("_rows")
-    )
-    inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    same = F.col("_part") == F.col("_of_part")
+    for key in keys:
+        same &= F.col(key).eqNullSafe(F.col(f"_of_{key}"))
+    inside = Window.partitionBy(*keys, "_part").orderBy(*order)
+    # At most one row per range.
     return (
-        sliced.withColumn("_inside", F.row_number().over(inside))
-        .join(offsets, [*keys, "_slice"], "left")
-        .withColumn(into, F.col("_inside") + F.coalesce("_offset", F.lit(0)))
-        .drop("_slice", "_inside", "_offset")
+        rows.withColumn("_inside", F.row_number().over(inside)).join(F.broadcast(shifts), same, "left")
+        .withColumn(into, F.col("_inside") + F.coalesce("_shift", F.lit(0)))
+        .select(*df.columns, into)
     )
 
 
-def _ranges(df: DataFrame, key: str, ranges: int) -> tuple[DataFrame, DataFrame]:
-    """Rows with the range their integer key falls in, and the row count before each range."""
-    bounds = df.agg(F.struct(F.min(key).cast("long").alias("low"), F.max(key).cast("long").alias("high"))).scalar()
-    width = F.floor((bounds["high"] - bounds["low"]) / ranges) + 1
-    ranged = df.withColumn("_range", F.floor((F.col(key).cast("long") - bounds["low"]) / width))
-    # At most ``ranges`` + 1 rows reach this window and the broadcast of its result.
-    before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
-    return ranged, counts.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-
+def _before(rows: DataFrame) -> DataFrame:
+    """Rows before each range; one row per range."""
+    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
+    return counts.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
 
-def dense_index(df: DataFrame, key: str, into: str = "index", ranges: int = RANGES) -> DataFrame:
-    """Gap-free index from 0 in the order of a unique integer key, without one global sort task.
 
-    Reads ``df`` three times, twice for its key only: hand it a table rather than a long plan.
-    """
-    ranged, counts = _ranges(df, key, ranges)
-    inside = Window.partitionBy("_range").orderBy(key)
+def dense_index(df: DataFrame, key: str, into: str = "index", parts: int | None = None) -> DataFrame:
+    """Gap-free index from 0 in the order of a unique key, without one global sort task."""
+    rows = in_ranges(df, [F.col(key)], parts)
+    inside = Window.partitionBy("_part").orderBy(key)
     return (
-        ranged.join(F.broadcast(counts.drop("_rows")), "_range")
+        rows.join(F.broadcast(_before(rows)), "_part")
         .withColumn(into, F.col("_before") + F.row_number().over(inside) - 1)
-        .drop("_range", "_before")
+        .select(*df.columns, into)
     )
 
 
-def first_rows(df: DataFrame, key: str, n: int, ranges: int = RANGES) -> DataFrame:
-    """T3. The ``n`` rows with the smallest unique integer key.
+def first_rows(df: DataFrame, key: str | Sequence[str], n: int, parts: int | None = None) -> DataFrame:
+    """T3. Exactly the first min(n, rows) rows in the order of ``key``.
 
-    Finds the key of row ``n`` and filters by it, so no task ever holds ``n`` rows; a plain
-    ``orderBy().limit(n)`` would move all of them to one.
+    NULL keys come last, and repeated keys count row by row (which of them stays is open unless further key columns
+    tell them apart). Only the ranges before row ``n`` are ranked, each on its own; a plain ``orderBy().limit(n)``
+    would move n rows to one task.
     """
-    keys = df.select(key)
-    ranged, counts = _ranges(keys, key, ranges)
-    edge = counts.where((F.col("_before") < n) & (F.col("_before") + F.col("_rows") >= n))
-    inside = Window.partitionBy("_range").orderBy(key)
-    last_key = (
-        ranged.join(F.broadcast(edge), "_range")
-        .withColumn("_rank", F.row_number().over(inside) + F.col("_before"))
-        .where(F.col("_rank") == n)
-        .agg(F.max(key))
+    order = [F.col(k).asc_nulls_last() for k in ([key] if isinstance(key, str) else key)]
+    rows = in_ranges(df, order, parts)
+    needed = _before(rows).where(F.col("_before") < n)
+    inside = Window.partitionBy("_part").orderBy(*order)
+    return (
+        rows.join(F.broadcast(needed), "_part")
+        .withColumn("_rank", F.col("_before") + F.row_number().over(inside))
+        .where(F.col("_rank") <= n)
+        .select(*df.columns)
     )
-    # NULL means that there are fewer than n rows: all of them stay.
-    return df.where(F.coalesce(F.col(key) <= last_key.scalar(), F.lit(n > 0)))
 
 
 def _histogram(hashed: DataFrame, group: list[str]) -> tuple[DataFrame, DataFrame]:

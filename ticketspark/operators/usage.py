@@ -7,10 +7,7 @@ from pyspark.sql import functions as F
 
 from ticketspark import schemas as S
 from ticketspark.functions.ids import window_start
-from ticketspark.operators.ranking import HOT_ROWS, numbered_in_groups
-
-# Width in microseconds of the slices that a hot window is cut into: 240 per window.
-SLICE_MICROS = {"minute": 250_000, "hour": 15_000_000, "day": 360_000_000}
+from ticketspark.operators.ranking import numbered_in_groups
 
 
 def in_windows(requests: DataFrame, window: str = "minute", ts: str = "ts") -> DataFrame:
@@ -29,20 +26,11 @@ def request_counts(requests: DataFrame, window: str = "minute") -> DataFrame:
 
 
 def request_decisions(
-    requests: DataFrame,
-    limit: int = S.REQUESTS_PER_MINUTE,
-    window: str = "minute",
-    hot_rows: int = HOT_ROWS,
+    requests: DataFrame, limit: int = S.REQUESTS_PER_MINUTE, window: str = "minute", parts: int | None = None
 ) -> DataFrame:
     """W3. Running number of each request in its window; the limit-th is the last one allowed."""
-    slice_of = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / SLICE_MICROS[window])
     numbered = numbered_in_groups(
-        in_windows(requests, window),
-        keys=["user_id", "window_start"],
-        order=[F.col("ts"), F.col("event_id")],
-        slice_of=slice_of,
-        into="request_number",
-        hot_rows=hot_rows,
+        in_windows(requests, window), ["user_id", "window_start"], [F.col("ts"), F.col("event_id")], "request_number", parts
     )
     return numbered.withColumn("allowed", F.col("request_number") <= limit)
 

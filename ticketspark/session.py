@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -44,9 +45,40 @@ def shared_dir(spark: SparkSession) -> str:
     return local
 
 
+def _store(spark: SparkSession, path: str):
+    """Hadoop's file system for a path, and the path in its own type."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder on any store that Spark reaches."""
+    store, place = _store(spark, path)
+    store.delete(place, True)
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    store, place = _store(spark, path)
+    return store.exists(place) and store.getFileStatus(place).isDirectory()
+
+
+def _clear(spark: SparkSession, root: str) -> None:
+    # A session that has ended takes its intermediates' readers with it; nothing is left to reach the store by.
+    if spark.sparkContext._jsc is not None:
+        remove(spark, root)
+
+
+_ROOTS: dict[str, str] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/ticketspark/{name}-{uuid.uuid4().hex}"
+    """A path below the shared folder that no other run uses. All paths of one process lie in one folder,
+    which goes when the process ends."""
+    shared = shared_dir(spark)
+    if shared not in _ROOTS:
+        _ROOTS[shared] = f"{shared}/ticketspark/{uuid.uuid4().hex}"
+        atexit.register(_clear, spark, _ROOTS[shared])
+    return f"{_ROOTS[shared]}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -54,14 +86,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     than once, or lose an executor, do not compute it again."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(scan: DataFrame, key: str) -> DataFrame:
-    """For costly work per row: a table with fewer splits than there are cores, such as one small
-    file, is moved by ``key`` so that all cores take part. Large tables pass unchanged.
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    Meant for a plain scan: asking a plan with shuffles for its partitions would run them.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, key)
+
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """For costly work per row: rows are dealt out by ``key``, so that all cores take part however few
+    splits the files have."""
+    return scan.repartition(partitions(scan.sparkSession), key)
