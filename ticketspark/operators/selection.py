@@ -11,15 +11,6 @@ from ticketspark import schemas as S
 from ticketspark.functions.ids import run_of_artifact, safe_label
 
 
-# Ids up to this number are broadcast: at most some 100 MB in every executor.
-BROADCAST_IDS = 1_000_000
-
-
-def broadcast_if_few(ids: DataFrame, at_most: int = BROADCAST_IDS) -> DataFrame:
-    """Counts the ids, then hints a broadcast only if they are few; else the join shuffles."""
-    return F.broadcast(ids) if ids.count() <= at_most else ids
-
-
 def unscored(tickets: DataFrame, predictions: DataFrame, model_version: str, since=None) -> DataFrame:
     """J3, P3. Tickets without a prediction of this version, optionally from a date on.
 

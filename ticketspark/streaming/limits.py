@@ -8,13 +8,11 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ticketspark import schemas as S
-from ticketspark.operators.ranking import HOT_ROWS
-from ticketspark.operators.usage import request_counts, request_decisions, sweep
+from ticketspark.operators.usage import in_windows, request_counts, request_decisions
+from ticketspark.session import remove
 from ticketspark.sources.tables import read_table
 
-
-def _folder(path: str, batch_id: int) -> str:
-    return f"{path}/batch={batch_id}"
+MARKS = "batch long, newest timestamp, last_window timestamp"
 
 
 def decide_batch(
@@ -25,39 +23,56 @@ def decide_batch(
     limit: int = S.REQUESTS_PER_MINUTE,
     window: str = "minute",
     keep: str = "1 day",
-    hot_rows: int = HOT_ROWS,
+    ahead: str = "5 minutes",
 ) -> None:
-    """R4. Decisions for one micro-batch, continuing the counters of the batch before it.
+    """R4. Decisions for one micro-batch, continuing the counters of the batches before it.
+
+    Requests are numbered by arrival: batch by batch, and inside a batch by time and id. A window is closed once
+    it starts more than ``keep`` before the newest request of *earlier* batches, where requests dated more than
+    ``ahead`` of the clock do not count, so a wrong clock closes nothing. A request for a closed window has
+    ``late`` set, no number, and is refused; it is never numbered from 1 again.
 
-    Requests are numbered by arrival: batch by batch, and inside a batch by time and id. Counters
-    are a snapshot per batch, so a batch that is run again after a failure finds the same snapshot
-    and replaces its own output. Windows older than ``keep`` before the newest request leave the
-    snapshot (R2), which keeps it as small as the set of live windows.
+    Each batch writes the counts of its own requests only; a batch that is run again replaces them and its
+    decisions. Counts whose windows are all closed are removed (R2).
     """
     spark = requests.sparkSession
-    schema = T.StructType([
-        T.StructField("user_id", requests.schema["user_id"].dataType),
-        T.StructField("window_start", requests.schema["ts"].dataType),
-        T.StructField("count", T.LongType()),
-    ])
-    before = read_table(spark, _folder(counters_path, batch_id - 1), schema)
+    requests.persist()
+    try:
+        marks = read_table(spark, f"{counters_path}/marks", T.StructType.fromDDL(MARKS)).where(F.col("batch") < batch_id)
+        # One time stamp and the list of batches whose windows are all closed.
+        newest = marks.agg(F.max("newest")).first()[0]
+        closed = F.lit(newest).cast("timestamp") - F.expr(f"interval {keep}")
+        rows = in_windows(requests, window).withColumn("late", F.coalesce(F.col("window_start").cast("timestamp") < closed, F.lit(False)))
+        live = rows.where("not late").drop("late", "window_start")
 
-    earlier = before.withColumnRenamed("count", "_earlier")
-    numbered = request_decisions(requests, limit, window, hot_rows).drop("allowed")
-    number = F.col("request_number") + F.coalesce("_earlier", F.lit(0))
-    decided = (
-        numbered.join(earlier, ["user_id", "window_start"], "left")
-        .withColumn("request_number", number)
-        .withColumn("allowed", F.col("request_number") <= limit)
-        .drop("_earlier")
-    )
-    decided.write.mode("overwrite").parquet(_folder(decisions_path, batch_id))
+        kinds = {f.name: f.dataType for f in rows.schema}
+        schema = T.StructType([
+            T.StructField("batch", T.LongType()), T.StructField("user_id", kinds["user_id"]),
+            T.StructField("window_start", kinds["window_start"]), T.StructField("count", T.LongType()),
+        ])
+        before = read_table(spark, f"{counters_path}/counts", schema).where(F.col("batch") < batch_id)
+        here = live.select("user_id").distinct()
+        earlier = before.join(here, "user_id", "left_semi").groupBy("user_id", "window_start").agg(F.sum("count").alias("_earlier"))
+        number = F.col("request_number") + F.coalesce("_earlier", F.lit(0))
+        decided = (
+            request_decisions(live, limit, window).drop("allowed").join(earlier, ["user_id", "window_start"], "left")
+            .withColumn("request_number", number).withColumn("allowed", F.col("request_number") <= limit)
+            .drop("_earlier").withColumn("late", F.lit(False))
+        )
+        refused = rows.where("late").withColumns({"request_number": F.lit(None).cast("long"), "allowed": F.lit(False)})
+        decided.unionByName(refused).write.mode("overwrite").parquet(f"{decisions_path}/batch={batch_id}")
 
-    counts = before.unionByName(request_counts(requests, window))
-    merged = counts.groupBy("user_id", "window_start").agg(F.sum("count").alias("count"))
-    newest = merged.agg(F.max("window_start")).scalar()
-    live = sweep(merged, newest - F.expr(f"interval {keep}"))
-    live.write.mode("overwrite").parquet(_folder(counters_path, batch_id))
+        request_counts(live, window).write.mode("overwrite").parquet(f"{counters_path}/counts/batch={batch_id}")
+        in_time = F.col("ts").cast("timestamp") <= F.current_timestamp() + F.expr(f"interval {ahead}")
+        mark = rows.agg(
+            F.max(F.when(in_time, F.col("ts").cast("timestamp"))).alias("newest"),
+            F.max(F.when(~F.col("late"), F.col("window_start").cast("timestamp"))).alias("last_window"),
+        )
+        mark.write.mode("overwrite").parquet(f"{counters_path}/marks/batch={batch_id}")
+        for row in marks.where(F.coalesce(F.col("last_window") < closed, F.lit(False))).select("batch").collect():
+            remove(spark, f"{counters_path}/counts/batch={row['batch']}")
+    finally:
+        requests.unpersist()
 
 
 def decide_stream(requests: DataFrame, decisions_path: str, counters_path: str, checkpoint: str, **options) -> StreamingQuery:

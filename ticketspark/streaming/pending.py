@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ticketspark import schemas as S
-from ticketspark.operators.selection import broadcast_if_few, select_for_scoring
+from ticketspark.operators.selection import select_for_scoring
 from ticketspark.plans.scoring import Scorer, prediction_rows, score
 from ticketspark.sources.tables import RUN, append_run, read_table
 
@@ -34,13 +34,17 @@ def score_pending_stream(
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         run_id = f"stream-{batch_id:012d}"
         batch.persist()
-        history = read_table(batch.sparkSession, predictions_path, HISTORY).where(F.col(RUN) != run_id)
-        arrived = broadcast_if_few(batch.select("ticket_id").distinct())
-        known = history.select("ticket_id", "model_version").join(arrived, "ticket_id", "left_semi")
-        selected = select_for_scoring(batch, known, model_version)
-        rows = prediction_rows(score(selected, scorer), model_version, model_run_id, run_id, run_ts)
-        append_run(rows, predictions_path, run_id)
-        batch.unpersist()
+        try:
+            history = read_table(batch.sparkSession, predictions_path, HISTORY)
+            # Both conditions reach the scan: other versions' row groups and this run's own folder are not read.
+            history = history.where((F.col(RUN) != run_id) & (F.col("model_version") == model_version))
+            arrived = batch.select("ticket_id").distinct()
+            known = history.select("ticket_id", "model_version").join(arrived, "ticket_id", "left_semi")
+            selected = select_for_scoring(batch, known, model_version)
+            rows = prediction_rows(score(selected, scorer), model_version, model_run_id, run_id, run_ts)
+            append_run(rows, predictions_path, run_id)
+        finally:
+            batch.unpersist()
 
     return (
         tickets.writeStream.foreachBatch(on_batch)
