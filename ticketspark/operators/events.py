@@ -34,12 +34,14 @@ EVENT_FIELDS = {
         "model_version", "model_run_id", "input_preview", "input_length_chars", "predicted_priority",
         "confidence", "latency_ms",
     ],
+    "batch_predict.error": ["error", "traceback"],
+    "csv_upload": ["user_id", "accepted", "skipped"],
 }
-ERROR_EVENTS = ["model_endpoint_error"]
+ERROR_EVENTS = ["model_endpoint_error", "batch_predict.error"]
 
 
 def event_lines(df: DataFrame, event: str, text: str | None = None) -> DataFrame:
-    """S12. One JSON line per row: severity, event, then the event's fields that ``df`` has.
+    """S12. One JSON line per row: severity, event, then all fields of the event; NULL where ``df`` has none.
 
     With ``text`` the preview and length of that column are filled in; the text itself never is.
     """
@@ -47,7 +49,7 @@ def event_lines(df: DataFrame, event: str, text: str | None = None) -> DataFrame
         df = df.withColumns({"input_preview": log_preview(text), "input_length_chars": F.length(text)})
     severity = "ERROR" if event in ERROR_EVENTS else "INFO"
     fields: list[Column] = [F.lit(severity).alias("severity"), F.lit(event).alias("event")]
-    fields += [F.col(name) for name in EVENT_FIELDS[event] if name in df.columns]
+    fields += [F.col(n) if n in df.columns else F.lit(None).cast("string").alias(n) for n in EVENT_FIELDS[event]]
     return df.select(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("value"))
 
 

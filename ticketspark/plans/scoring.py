@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import logging
+import sys
+import traceback
+import types
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,7 +23,8 @@ from ticketspark.functions.text import is_blank, log_preview
 from ticketspark.operators.events import event_lines
 from ticketspark.operators.selection import select_for_scoring, selection_mode
 from ticketspark.session import written
-from ticketspark.sources.tables import append_predictions
+from ticketspark.sources.artifacts import write_lines
+from ticketspark.sources.tables import RUN, append_predictions
 
 log = logging.getLogger(__name__)
 
@@ -43,40 +48,45 @@ def column_scorer(features: Callable[[Column], dict[str, Column]], logits: Calla
     return score
 
 
-def batch_scorer(load: Callable[[], Callable[[list[str]], np.ndarray]], batch_size: int = S.SCORING_BATCH) -> Scorer:
+def _kept(key: str, load: Callable[[], object]):
+    """One model per Python worker process, shared by all of its tasks. Code that travels by value has no
+    module of its own on a worker, so models hang in a module made for them."""
+    models = sys.modules.setdefault("_ticketspark_models", types.ModuleType("_ticketspark_models")).__dict__
+    if key not in models:
+        models[key] = load()
+    return models[key]
+
+
+def batch_scorer(
+    load: Callable[[], Callable[[list[str]], np.ndarray]], batch_size: int = S.SCORING_BATCH, model_id: str | None = None
+) -> Scorer:
     """X1 for a Python model: ``load()`` returns a function from texts to a (texts, 4) logit array.
 
-    The model is loaded once per worker, and only if there is a text to score. Only id and text
-    travel to Python; argmax and confidence stay in Catalyst.
+    The model is loaded once per worker process and ``model_id`` (by default, per scorer), and only if there is a text
+    to score. Only texts travel to Python and only probabilities come back.
     """
     if batch_size <= 0:
         raise ValueError(f"batch size must be positive, got {batch_size}")
-    n_labels = len(S.LABELS)
-
-    def score_frames(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = None
-        for frame in frames:
-            probabilities: list = [None] * len(frame)
-            todo = np.flatnonzero(frame["_scored"].to_numpy())
-            texts = frame["ticket_text"].to_numpy()
+    n_labels, key, kept = len(S.LABELS), model_id or uuid.uuid4().hex, _kept
+
+    def probabilities(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            out = np.empty(len(texts), object)
+            todo = np.flatnonzero(texts.notna().to_numpy())
             for start in range(0, len(todo), batch_size):
                 at = todo[start:start + batch_size]
-                if model is None:
-                    model = load()
-                logits = np.asarray(model([texts[i] for i in at]), dtype=float)
+                logits = np.asarray(kept(key, load)(list(texts.iloc[at])), dtype=float)
                 if logits.shape != (len(at), n_labels):
                     raise ValueError(f"expected {(len(at), n_labels)} logits, got {logits.shape}")
                 weights = np.exp(logits - logits.max(axis=1, keepdims=True))
-                for i, row in zip(at, weights / weights.sum(axis=1, keepdims=True)):
-                    probabilities[i] = row
-            frame["probabilities"] = probabilities
-            yield frame[["ticket_id", "ticket_text", "probabilities"]]
+                out[at] = list(weights / weights.sum(axis=1, keepdims=True))
+            yield pd.Series(out)
+
+    scored = F.pandas_udf(probabilities, T.ArrayType(T.DoubleType()))
 
     def score(tickets: DataFrame) -> DataFrame:
-        rows = tickets.select("ticket_id", "ticket_text", (~is_blank("ticket_text")).alias("_scored"))
-        fields = [tickets.schema["ticket_id"], tickets.schema["ticket_text"]]
-        fields.append(T.StructField("probabilities", T.ArrayType(T.DoubleType())))
-        return rows.mapInPandas(score_frames, T.StructType(fields))
+        todo = F.when(~is_blank("ticket_text"), F.col("ticket_text"))
+        return tickets.withColumn("probabilities", scored(todo))
 
     return score
 
@@ -142,12 +152,16 @@ def run_batch(
     ticket_ids=None,
     dry_run: bool = False,
     on_summary: Callable[[str], None] = log.info,
+    events_path: str | None = None,
+    on_error: Callable[[str], None] = log.error,
 ) -> DataFrame:
     """M5. Select, score, append and summarise; returns the one-row summary.
 
     Every text is scored once: the scored rows go to the shared folder, and the append, the count
-    and the summary all read them from there. The summary line is emitted for empty and for failed
-    runs too; a failed run has written nothing, and repeating it with the same id is safe.
+    and the summary all read them from there. With ``events_path`` one prediction line per scored ticket goes to
+    the run's own folder there, dry runs included; a repeated run replaces its lines. The summary line is emitted for
+    empty and for failed runs too, after the error line of the latter; a failed run has written no prediction, and
+    repeating it with the same id is safe.
     """
     spark = tickets.sparkSession
     mode = selection_mode(since, ticket_ids, dry_run)
@@ -156,9 +170,19 @@ def run_batch(
     try:
         selected = select_for_scoring(tickets, predictions, model_version, since, ticket_ids)
         staged = written(score(selected, scorer), f"scored-{run_id}")
+        if events_path is not None:
+            named = staged.where("not skipped").withColumns({
+                "run_id": F.lit(run_id), "model_version": F.lit(model_version), "model_run_id": F.lit(model_run_id).cast("string"),
+                "latency_ms": F.lit(0.0),
+            })
+            write_lines(event_lines(named, "prediction"), f"{events_path}/{RUN}={run_id}", "overwrite")
         if not dry_run:
             rows = prediction_rows(staged, model_version, model_run_id, run_id, run_ts)
             append_predictions(rows, predictions_path, run_id)
+    except BaseException as error:
+        record = spark.createDataFrame([(repr(error), traceback.format_exc())], "error string, traceback string")
+        on_error(event_lines(record, "batch_predict.error").first()["value"])
+        raise
     finally:
         if staged is None:
             staged = spark.createDataFrame([], "predicted_priority string, confidence double, skipped boolean")

@@ -61,6 +61,8 @@ LOG_EVENTS = [
     "prediction",
     "batch_run_summary",
     "online_prediction",
+    "batch_predict.error",
+    "csv_upload",
 ]
 
 # Literals that a dataset CSV reader takes as missing.

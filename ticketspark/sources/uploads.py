@@ -4,28 +4,36 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ticketspark import schemas as S
 from ticketspark.functions.ids import row_id
 from ticketspark.functions.text import long_enough, strip
-from ticketspark.operators.ranking import first_in_group, latest_per_key
+from ticketspark.operators.ranking import first_in_group
 
 BYTE_ORDER_MARK = chr(0xFEFF)
 
 
-def _header_width(spark: SparkSession, paths: Sequence[str]) -> int:
-    """Widest header line over all files: one number."""
+def _header_width(spark: SparkSession, paths: Sequence[str], multi_line: bool) -> int:
+    """Widest header over all files, or a little more: one number.
+
+    A header ends at the first line break outside quotes, that is where the quotes so far are even in number. Commas
+    inside quotes are counted too; the columns too many stay NULL.
+    """
     lines = spark.read.text(list(paths)).select(
         F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("line"),
-        "value",
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("line"),
+        F.regexp_count("value", F.lit('"')).alias("quotes"), F.regexp_count("value", F.lit(",")).alias("commas"),
     )
-    heads = latest_per_key(lines, ["file"], [F.col("block"), F.col("line")])
-    widest = heads.agg(F.max(F.size(F.split("value", ",")))).first()[0]
-    return widest or 1
+    if multi_line:
+        # Numbers only; a file that may hold quoted line breaks is one task's work in any case.
+        so_far = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+        counted = lines.withColumns({"quotes": F.sum("quotes").over(so_far), "commas": F.sum("commas").over(so_far)})
+        heads = counted.where("quotes % 2 = 0").groupBy("file").agg(F.min_by("commas", "line").alias("commas"))
+    else:
+        heads = lines.groupBy("file").agg(F.min_by("commas", "line").alias("commas"))
+    return (heads.agg(F.max("commas")).first()[0] or 0) + 1
 
 
 def _text_position(header: Column) -> Column:
@@ -47,7 +55,7 @@ def read_uploads(spark: SparkSession, *paths: str, multi_line: bool = True) -> D
     order; ``multi_line=False`` lets big files without such breaks be split. A missing field reads
     as blank and is dropped.
     """
-    width = _header_width(spark, paths)
+    width = _header_width(spark, paths, multi_line)
     columns = [f"c{i}" for i in range(width)]
     rows = (
         spark.read.schema(", ".join(f"{c} string" for c in columns))
