@@ -19,26 +19,18 @@ def _digested(df: DataFrame, text: str, key: str) -> DataFrame:
 
 
 def drop_duplicate_texts(df: DataFrame, text: str = "ticket_text", key: str = "ticket_id") -> DataFrame:
-    """W2. Keep the row with the smallest key of each exact text.
+    """W2. Keep the row with the smallest key of each exact text; NULL texts all stay.
 
-    Only digests are grouped, and equal ones merge before the shuffle. The rows themselves meet
-    just the list of repeated digests: AQE broadcasts it when its measured size allows, and
-    otherwise may split a hot digest, which has one row on the list side.
+    Texts stay where they are: only (key, digest) rows are grouped and joined, equal digests merge before the shuffle,
+    and the rows meet the unique keys to drop, so no copy makes a hot key of whole texts.
     """
-    digest = F.sha2(F.col(text), 256)
+    rows = df.select(F.col(key).alias("_key"), F.sha2(F.col(text), 256).alias("_digest"))
     repeated = (
-        df.select(digest.alias("_digest"), F.col(key).alias("_key"))
-        .groupBy("_digest")
-        .agg(F.min("_key").alias("_first"), F.count(F.lit(1)).alias("_rows"))
-        .where("_rows > 1")
-        .drop("_rows")
-    )
-    return (
-        df.withColumn("_digest", digest)
-        .join(repeated, "_digest", "left")
-        .where(F.col("_first").isNull() | (F.col("_first") == F.col(key)))
-        .drop("_digest", "_first")
+        rows.groupBy("_digest").agg(F.min("_key").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+        .where("_rows > 1").drop("_rows")
     )
+    surplus = rows.join(repeated, "_digest").where(F.col("_key") != F.col("_first")).select("_key")
+    return df.join(surplus, F.col(key) == F.col("_key"), "left_anti")
 
 
 def clean(df: DataFrame, text: str = "ticket_text", key: str = "ticket_id") -> DataFrame:

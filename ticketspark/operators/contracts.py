@@ -89,10 +89,15 @@ def contract_report(tables: Mapping[str, DataFrame], contracts: Mapping[str, Con
                 F.lit(name).alias("table_name"), F.lit(f"unique({','.join(key)})").alias("rule"), "violations"
             ))
         for column, (other, target) in contract.references.items():
+            rule = f"reference({column}->{other})"
+            if other not in tables:
+                # Not checkable: the other table is not at hand.
+                parts.append(df.sparkSession.createDataFrame([(name, rule, None)], "table_name string, rule string, violations long"))
+                continue
             known = tables[other].select(F.col(target).alias(column)).distinct()
             orphans = df.where(F.col(column).isNotNull()).select(column).join(known, column, "left_anti")
             parts.append(orphans.agg(F.count(F.lit(1)).alias("violations")).select(
-                F.lit(name).alias("table_name"), F.lit(f"reference({column}->{other})").alias("rule"), "violations"
+                F.lit(name).alias("table_name"), F.lit(rule).alias("rule"), "violations"
             ))
     report = parts[0]
     for part in parts[1:]:

@@ -105,7 +105,7 @@ def _drawn(size: Column, total: Column, share: float, n_classes: Column, whole:
     """Rows to take off, rounded up; fails where a label has a single row or would get none."""
     drawn = F.ceil(total * F.lit(share)).cast("long")
     thin = (F.min(size).over(whole) < 2) | (drawn < n_classes) | (total - drawn < n_classes)
-    return F.when(thin, F.raise_error(F.lit("too few rows to split by label")).cast("long")).otherwise(drawn)
+    return F.when(thin, F.raise_error(F.lit("a label has too few rows for three parts")).cast("long")).otherwise(drawn)
 
 
 def split_quotas(df: DataFrame, label: str, sizes: tuple[float, float, float] = S.SPLIT_SIZES) -> DataFrame:
@@ -118,7 +118,8 @@ def split_quotas(df: DataFrame, label: str, sizes: tuple[float, float, float] =
         raise ValueError(f"split sizes must sum to 1, got {train + val + test}")
     whole = Window.partitionBy(F.lit(0))
     n_classes = F.count(F.lit(1)).over(whole)
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).withColumn("_total", F.sum("_n").over(whole))
+    known = df.where(F.col(label).isNotNull())
+    counts = known.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).withColumn("_total", F.sum("_n").over(whole))
     test_total = _drawn(F.col("_n"), F.col("_total"), float(test), n_classes, whole)
     first = _largest_remainder(
         counts.withColumn("_train_total", F.col("_total") - test_total),
@@ -144,6 +145,8 @@ def stratified_split(
     train. Only the two cut-off hashes per label are looked up, so the rows are never shuffled.
     """
     order = seeded_hash(seed, F.col(key))
+    # A row without a label belongs to no class and to no part.
+    df = df.where(F.col(label).isNotNull())
     quotas = split_quotas(df, label, sizes)
     ranks = quotas.select(
         F.col(label).alias("_class"),
