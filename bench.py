@@ -43,6 +43,13 @@ HEADLINES = {
     "csv_ingest": ["documents"],
     "contract_report": ["orders", "lineitem", "labels", "events"],
     "stream_request_windows": ["events"],
+    "stream_request_decisions": ["events"],
+    "stream_pending_scoring": ["documents"],
+    "request_decisions_hot": ["events"],
+    "baseline_model": ["documents"],
+    "dedup_texts": ["documents"],
+    "dataset_roundtrip": ["orders"],
+    "purge_user_preview": ["orders", "lineitem", "events", "customer"],
 }
 
 

@@ -143,7 +143,7 @@ def test_M3_bad_sizes(grid):
 
 def test_M3_too_few_rows(spark):
     df = spark.range(12).select("id", F.when(F.col("id") == 0, "low").otherwise("high").alias("priority"))
-    with pytest.raises(Exception, match="too few rows"):
+    with pytest.raises(Exception, match="too few rows for three parts"):
         dataset.split_quotas(df, "priority").collect()
 
 
@@ -180,10 +180,10 @@ def test_dense_index_and_first_rows(spark):
     rng = random.Random(3)
     ids = sorted(rng.sample(range(-10**12, 10**12), 500) + list(range(100)))
     df = spark.createDataFrame([(i,) for i in rng.sample(ids, len(ids))], "k long").repartition(5)
-    for ranges in (1, 7, 65_536):
+    for ranges in (1, 7, 100):
         assert pairs(ranking.dense_index(df, "k", "i", ranges), "i", "k") == list(enumerate(ids))
     for n in (0, 1, 250, 600, 900):
-        assert sorted(column(ranking.first_rows(df, "k", n, 16), "k")) == ids[:n]
+        assert sorted(column(ranking.first_rows(df, "k", n, 6), "k")) == ids[:n]
     assert ranking.dense_index(df.limit(0), "k").count() == 0
 
 

@@ -5,7 +5,7 @@ from conftest import T0, column, pairs
 from pyspark.sql import functions as F
 
 from ticketspark import schemas as S
-from ticketspark.operators import evaluation, events
+from ticketspark.operators import evaluation, events, generation
 from ticketspark.sources import artifacts, datasets, uploads
 
 
@@ -81,8 +81,31 @@ def test_S2(spark, tmp_path):
     rows = datasets.load_labelled(spark, str(path))
     assert pairs(rows, "ticket_id", "priority") == [("1", "low"), ("3", "high"), ("6", "urgent")]
     assert pairs(datasets.load_labelled(spark, str(path), max_rows=2), "ticket_id") == [("1",), ("3",)]
-    in_file_order = datasets.load_labelled(spark, str(path), max_rows=1, key="none")
-    assert pairs(in_file_order, "ticket_id") == [("3",)]
+    assert pairs(datasets.load_labelled(spark, str(path), max_rows=1), "ticket_id") == [("3",)]
+
+
+@pytest.mark.parametrize(("ids", "cap", "kept"), [
+    (["a", "b", "c", "d"], 2, ["a", "b"]), (["1", "1", "1", "1", "2"], 2, ["1", "1"]), (["9", "8", "7", "1", "2"], 2, ["8", "9"]),
+    (["", str(10**25), "-5"], 2, [None, str(10**25)]), (["1"], 5, ["1"]), (["1"], 0, []),
+])
+def test_S2_cap_counts_rows_of_the_files(spark, tmp_path, ids, cap, kept):
+    for part, some in enumerate((ids[:2], ids[2:])):
+        # The later file is much larger, which changes the order in which Spark packs them.
+        (tmp_path / f"part-{part}.csv").write_text("ticket_id,ticket_text,priority\n" + "".join(f"{i},{'text ' * (1 + 900 * part)},low\n" for i in some))
+    got = datasets.load_labelled(spark, str(tmp_path), max_rows=cap)
+    assert sorted(column(got, "ticket_id"), key=str) == sorted(kept, key=str)
+
+
+def test_S4_last_file_wins(spark, tmp_path):
+    (tmp_path / "part-0.csv").write_text("ticket_id,ticket_text\n1,old\n2,only\n")
+    (tmp_path / "part-1.csv").write_text("ticket_id,ticket_text\n1,new\n" + "".join(f"{i},{'x' * 900}\n" for i in range(10, 300)))
+    texts = generation.existing_texts(datasets.saved_texts(spark, str(tmp_path)), "position")
+    assert pairs(texts.where("ticket_id < 10"), "ticket_id", "ticket_text") == [(1, "new"), (2, "only")]
+
+
+def test_S1_header_with_a_line_break(upload):
+    texts = upload(a='"Ticket\nnumber","a, b",text\n1,x,first good row\n2,y,second good row\n')
+    assert sorted(column(texts, "text")) == ["first good row", "second good row"]
 
 
 def test_S2_checks(spark, tmp_path):
@@ -127,7 +150,8 @@ def test_S12_fields(spark):
     df = spark.createDataFrame([("t1", "x" * 150, 0.5, None)], "ticket_id string, text string, confidence double, model_run_id string")
     (line,) = column(events.event_lines(df, "ticket_created", text="text"), "value")
     record = json.loads(line)
-    assert list(record) == ["severity", "event", "ticket_id", "confidence", "input_preview", "input_length_chars", "model_run_id"]
+    assert list(record) == ["severity", "event", *events.EVENT_FIELDS["ticket_created"]]
+    assert record["prediction_id"] is None and record["latency_ms"] is None
     assert record["input_preview"] == "x" * 100 and record["input_length_chars"] == 150 and record["model_run_id"] is None
     (line,) = column(events.event_lines(spark.createDataFrame([(500, "boom", "/predict")], "status_code int, error string, endpoint string"), "model_endpoint_error"), "value")
     assert json.loads(line) == {"severity": "ERROR", "event": "model_endpoint_error", "status_code": 500, "error": "boom", "endpoint": "/predict"}

@@ -62,8 +62,8 @@ def test_R4_continues_over_batches_and_restarts(spark, folder):
     got = {i: (n, ok) for i, n, ok in pairs(spark.read.parquet(folder.out), "event_id", "request_number", "allowed")}
     # Numbered by arrival: request 4 came after 2, although its clock is earlier.
     assert got == {1: (1, True), 2: (2, True), 3: (1, True), 4: (3, False), 5: (1, True), 6: (2, True), 7: (4, False), 8: (3, False), 9: (1, True)}
-    last = spark.read.parquet(f"{folder.counters}/batch=2")
-    assert pairs(last, "user_id", "window_start", "count") == pairs(usage.request_counts(spark.read.parquet(folder.inbox)), "user_id", "window_start", "count")
+    counts = spark.read.parquet(f"{folder.counters}/counts").groupBy("user_id", "window_start").agg(F.sum("count").alias("count"))
+    assert pairs(counts, "user_id", "window_start", "count") == pairs(usage.request_counts(spark.read.parquet(folder.inbox)), "user_id", "window_start", "count")
 
 
 def test_R4_repeated_batch_gives_the_same(spark, folder):
@@ -75,10 +75,38 @@ def test_R4_repeated_batch_gives_the_same(spark, folder):
         assert pairs(spark.read.parquet(folder.out), "event_id", "request_number") == [(1, 1), (2, 2), (3, 3)]
 
 
-def test_R2_old_windows_leave_the_snapshot(spark, folder):
-    limits.decide_batch(spark.createDataFrame(_requests((1, "a", 0)), REQUESTS), 0, folder.out, folder.counters, keep="1 hour")
-    limits.decide_batch(spark.createDataFrame(_requests((2, "b", 7200)), REQUESTS), 1, folder.out, folder.counters, keep="1 hour")
-    assert pairs(spark.read.parquet(f"{folder.counters}/batch=1"), "user_id") == [("b",)]
+def _decide(spark, folder, batch_id, *rows, **options):
+    limits.decide_batch(spark.createDataFrame(_requests(*rows), REQUESTS), batch_id, folder.out, folder.counters, limit=2, **options)
+    return {i: (n, ok, late) for i, n, ok, late in pairs(spark.read.parquet(folder.out), "event_id", "request_number", "allowed", "late")}
+
+
+def test_R4_a_clock_in_the_future_resets_nothing(spark, folder):
+    ahead = 100 * 365 * 86400
+    _decide(spark, folder, 0, (1, "a", 0), (2, "a", 1), (3, "a", 2), (4, "b", ahead))
+    got = _decide(spark, folder, 1, (5, "a", 3))
+    assert got[4] == (1, True, False) and got[5] == (4, False, False)
+
+
+def test_R2_R4_late_requests_are_named_and_old_counts_removed(spark, folder):
+    past = -200 * 86400
+    _decide(spark, folder, 0, (1, "a", past), (2, "a", past + 1), (3, "a", past + 2), keep="1 hour")
+    _decide(spark, folder, 1, (4, "b", past + 7200), keep="1 hour")
+    got = _decide(spark, folder, 2, (5, "a", past + 3), (6, "b", past + 7201), keep="1 hour")
+    # Never numbered from 1 again; the other user goes on.
+    assert got[5] == (None, False, True) and got[6] == (2, True, False)
+    assert {r.batch for r in spark.read.parquet(f"{folder.counters}/counts").select("batch").distinct().collect()} == {1, 2}
+
+
+def test_streams_over_a_file_and_over_part_files(spark, folder, tmp_path):
+    rows = spark.createDataFrame(_requests((1, "a", 0), (2, "b", 1), (3, "c", 2)), REQUESTS)
+    rows.repartition(3).write.parquet(str(tmp_path / "many" / "events.parquet"))
+    rows.toPandas().to_parquet(str(tmp_path / "events.parquet"), coerce_timestamps="us")
+    for place in (tmp_path, tmp_path / "many"):
+        stream = windows.table_stream(spark, str(place), "events.parquet")
+        assert stream.isStreaming
+        query = stream.select("event_id").writeStream.format("memory").queryName("seen").trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert pairs(spark.table("seen"), "event_id") == [(1,), (2,), (3,)]
 
 
 TICKETS = "ticket_id string, text string"

@@ -39,7 +39,7 @@ def test_W3_hot_windows_are_numbered_the_same(spark, window):
         (F.lit(T0) + F.make_dt_interval(secs=(F.col("id") * 37 % 700 / 3).cast("decimal(18,6)"))).alias("ts"),
     )
     plain = usage.request_decisions(df, 50, window)
-    sliced = usage.request_decisions(df.repartition(5), 50, window, hot_rows=20)
+    sliced = usage.request_decisions(df.repartition(5), 50, window, parts=40)
     names = ("event_id", "window_start", "request_number", "allowed")
     assert pairs(plain, *names) == pairs(sliced, *names)
 

@@ -36,7 +36,7 @@ def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def labelled_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tickets with the label their order priority names; 'NOT SPECIFIED' is unknown."""
     return tickets(spark, sf_dir).select(
-        "ticket_id", display_label(F.substring("text", 3, 100)).alias("priority")
+        "ticket_id", display_label(F.expr("substring(text, 3)")).alias("priority")
     )
 
 

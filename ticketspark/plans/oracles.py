@@ -194,7 +194,7 @@ _SCORE_ROWS = "SELECT ticket_id, skipped, predicted_priority, round(confidence,
     f"round(CASE WHEN NOT skipped THEN {x} END, 6) AS score_{x}" for x in S.LABELS
 ) + " FROM scores"
 _STORED_SCORES = """SELECT CAST(ticket_id AS VARCHAR) AS ticket_id, predicted_priority, round(confidence, 6) AS confidence,
-    '1' AS model_version, 'run-1' AS model_run_id FROM scores WHERE NOT skipped"""
+    '1' AS model_version, 'run-1' AS model_run_id, TIMESTAMP '2026-04-19 02:00:00' AS created_at FROM scores WHERE NOT skipped"""
 
 
 def _reason(column: str) -> str:
@@ -444,6 +444,12 @@ ORACLES: dict[str, str] = {
                {", ".join(f"count(*) FILTER (predicted_priority = '{x}') AS n_{x}" for x in S.LABELS)}
         FROM scores""",
     "scoring_job": f"WITH {_LOGITS} {_STORED_SCORES}",
+    "baseline_model": r"""WITH tokens AS (
+            SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM documents)
+        SELECT term, count(DISTINCT doc_id) AS df,
+               round(ln((1 + (SELECT count(*) FROM documents))::DOUBLE / (1 + count(DISTINCT doc_id))::DOUBLE) + 1, 6) AS idf,
+               (SELECT count(*) FROM documents) AS n_rows, true AS lower_loss, true AS better_than_constant
+        FROM tokens GROUP BY term""",
     "tfidf_terms": r"""WITH tokens AS (
             SELECT doc_id AS ticket_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM documents),
         counts AS (SELECT ticket_id, term, count(*) AS tf FROM tokens GROUP BY ALL),
@@ -480,10 +486,11 @@ ORACLES: dict[str, str] = {
         SELECT total, filled, total - filled AS missing, round(filled / total, 6) AS share
         FROM (SELECT (SELECT count(*) FROM grid) AS total, (SELECT count(*) FROM filled) AS filled)""",
     "event_log_render": f"""WITH {PREDICTIONS}
-        SELECT '{{"severity":"INFO","event":"prediction","model_version":"' || model_version || '","model_run_id":"' || model_run_id
-               || '","ticket_id":' || ticket_id || ',"predicted_priority":"' || predicted_priority || '","confidence":' || confidence
+        SELECT '{{"severity":"INFO","event":"prediction","run_id":null,"model_version":"' || model_version || '","model_run_id":"' || model_run_id
+               || '","ticket_id":' || ticket_id || ',"input_preview":"' || o_orderpriority || '","input_length_chars":' || length(o_orderpriority)
+               || ',"predicted_priority":"' || predicted_priority || '","confidence":' || confidence
                || ',"latency_ms":' || latency_ms || '}}' AS value
-        FROM predictions""",
+        FROM predictions JOIN orders ON o_orderkey = ticket_id""",
     "event_log_filter": """SELECT ts, event_id, 'ERROR' AS severity, 'model_endpoint_error' AS event, props ->> '$.k' AS message
         FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 50""",
     "csv_ingest": f"""WITH {_UPLOADS}
@@ -491,9 +498,30 @@ ORACLES: dict[str, str] = {
         FROM kept WHERE position <= 500""",
     "csv_cap": f"""WITH {_UPLOADS}
         SELECT upload, least(count(*), 500) AS accepted, greatest(count(*) - 500, 0) AS skipped FROM kept GROUP BY upload""",
+    "scoring_events": f"""WITH {_LOGITS}
+        SELECT 'INFO' AS severity, 'prediction' AS event, 'events' AS run_id, ticket_id, CAST(length(text) AS BIGINT) AS input_length_chars,
+               predicted_priority, round(confidence, 6) AS confidence, sha256(left(text, 100)) AS preview_hash
+        FROM scores JOIN documents ON doc_id = ticket_id WHERE NOT skipped""",
+    "scoring_modes": """
+        SELECT 'dry-run' AS selection_mode, count(*) AS row_count, count(*) AS row_count_scored, 0 AS stored FROM orders
+        UNION ALL SELECT 'since', count(*), count(*), count(*) FROM orders WHERE o_orderdate >= DATE '1998-01-01'
+        UNION ALL SELECT 'explicit-ids', count(*), count(*), count(*) FROM orders WHERE o_orderkey IN (SELECT doc_id FROM labels)""",
+    "paste_tickets": f"""WITH {_LOGITS}
+        SELECT sha256(text) AS text_hash, 'paste' AS source, 'u1' AS user_id, predicted_priority, round(confidence, 6) AS confidence,
+               7 AS latency_ms, TIMESTAMP '2026-04-19 02:00:00' AS created_at
+        FROM scores JOIN documents ON doc_id = ticket_id WHERE NOT skipped""",
+    "feedback_stored": f"""WITH {FEEDBACK}
+        SELECT CAST(prediction_id AS VARCHAR) AS prediction_id, verdict, user_id AS note, 1 AS rows_of_id,
+               TIMESTAMP '2026-04-19 02:00:00' AS created_at FROM feedback""",
+    "upload_tickets": f"""WITH {_UPLOADS}
+        SELECT CAST(upload AS VARCHAR) AS user_id, 'csv' AS source, count(*) AS n_tickets, count(*) AS n_ids, CAST(sum(length(text)) AS BIGINT) AS chars,
+               0 AS n_resolved
+        FROM kept WHERE position <= 500 GROUP BY upload""",
+    "dataset_cap": f"WITH {GRID} SELECT ticket_id, priority FROM grid ORDER BY ticket_id LIMIT 1000",
     "dataset_roundtrip": f"WITH {GRID} SELECT ticket_id, issue_sub_category AS ticket_text, priority FROM grid",
     "stream_request_windows": f"""WITH {MINUTES} SELECT * FROM minutes
         WHERE window_start + INTERVAL 1 MINUTE <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 10 MINUTE""",
     "stream_request_decisions": DAY_DECISIONS,
     "stream_pending_scoring": f"WITH {_LOGITS} {_STORED_SCORES}",
 }
+ORACLES["saved_texts"] = ORACLES["existing_texts"]

@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ticketspark import schemas as S
@@ -221,8 +221,8 @@ def request_decisions(spark, sf_dir):
 
 @query
 def request_decisions_hot(spark, sf_dir):
-    """The same with a low bound, so that busy windows take the sliced path."""
-    return usage.request_decisions(B.requests(spark, sf_dir), LIMIT, WINDOW, hot_rows=2)
+    """The same over many ranges, so that most windows lie in several of them."""
+    return usage.request_decisions(B.requests(spark, sf_dir), LIMIT, WINDOW, parts=200)
 
 
 @query
@@ -232,9 +232,9 @@ def limit_breaches(spark, sf_dir):
 
 @query
 def counter_sweep(spark, sf_dir):
-    counts = usage.request_counts(B.requests(spark, sf_dir))
-    newest = counts.agg(F.max("window_start")).scalar()
-    return usage.sweep(counts, newest - F.expr("interval 7 days"))
+    requests = B.requests(spark, sf_dir)
+    newest = usage.in_windows(requests).agg(F.max("window_start")).scalar()
+    return usage.sweep(usage.request_counts(requests), newest - F.expr("interval 7 days"))
 
 
 # --- Feedback and contracts ----------------------------------------------------------------------
@@ -267,7 +267,7 @@ def contract_report(spark, sf_dir):
 @query
 def label_domain(spark, sf_dir):
     """Labels outside the vocabulary among all tickets, normalised the way datasets are."""
-    named = B.tickets(spark, sf_dir).select(text.normalise_label(F.substring("text", 3, 100)).alias("label"))
+    named = B.tickets(spark, sf_dir).select(text.normalise_label(F.expr("substring(text, 3)")).alias("label"))
     return contracts.unknown_labels(named, "label")
 
 
@@ -577,10 +577,68 @@ def scoring_job(spark, sf_dir):
         history = tables.read_table(spark, path, S.PREDICTIONS)
         scoring.run_batch(docs, history, path, scorer, "1", "run-1", run, _run_ts())
     return tables.read_table(spark, path, S.PREDICTIONS).select(
-        "ticket_id", "predicted_priority", F.round("confidence", 6).alias("confidence"), "model_version", "model_run_id"
+        "ticket_id", "predicted_priority", F.round("confidence", 6).alias("confidence"), "model_version", "model_run_id",
+        F.col("created_at").cast("timestamp_ntz").alias("created_at"),
     )
 
 
+@query
+def scoring_events(spark, sf_dir):
+    """The prediction lines that a dry run writes, read back."""
+    path = scratch_path(spark, "scoring-events")
+    docs = spread(B.documents(spark, sf_dir), "ticket_id").select("ticket_id", F.col("ticket_text").alias("text"))
+    history = tables.read_table(spark, f"{path}/predictions", S.PREDICTIONS).withColumn("ticket_id", F.col("ticket_id").cast("long"))
+    scorer = scoring.column_scorer(B.text_features, B.text_logits)
+    scoring.run_batch(docs, history, f"{path}/predictions", scorer, "1", "run-1", "events", _run_ts(), dry_run=True, events_path=f"{path}/lines")
+    schema = "severity string, event string, run_id string, ticket_id long, input_length_chars long, predicted_priority string, confidence double, input_preview string"
+    lines = events.parse_lines(artifacts.read_lines(spark, f"{path}/lines"), schema)
+    return lines.select(
+        "severity", "event", "run_id", "ticket_id", "input_length_chars", "predicted_priority", F.round("confidence", 6).alias("confidence"),
+        F.sha2("input_preview", 256).alias("preview_hash"),
+    )
+
+
+@query
+def scoring_modes(spark, sf_dir):
+    """M5: what the three other modes select and score, over the orders."""
+    path = scratch_path(spark, "scoring-modes")
+    tickets = B.tickets(spark, sf_dir)
+    history = tables.read_table(spark, path, S.PREDICTIONS).withColumn("ticket_id", F.col("ticket_id").cast("long"))
+    scorer = scoring.column_scorer(B.text_features, B.text_logits)
+    ids = B.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("ticket_id"))
+    parts = []
+    for run, options in {"d": {"dry_run": True}, "s": {"since": SINCE}, "i": {"ticket_ids": ids}}.items():
+        summary = scoring.run_batch(tickets, history, path, scorer, "1", "run-1", run, _run_ts(), **options)
+        stored = tables.read_table(spark, path, pending.HISTORY).where(F.col(tables.RUN) == run)
+        parts.append(summary.select(
+            "selection_mode", "row_count", "row_count_scored", stored.agg(F.count(F.lit(1))).scalar().alias("stored")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query
+def paste_tickets(spark, sf_dir):
+    """Each scored document as a ticket with its first prediction, joined by the id they share."""
+    docs = B.documents(spark, sf_dir)
+    scored = _scored(spark, sf_dir).where("not skipped").join(docs, "ticket_id").select(
+        F.col("ticket_id").alias("request_id"), F.col("ticket_text").alias("text"), "predicted_priority", "confidence", "all_scores",
+        F.lit("1").alias("model_version"), F.lit("run-1").alias("model_run_id"), F.lit(7).alias("latency_ms"),
+    )
+    ticket, prediction = tables.ticket_and_prediction(scored, F.lit("u1"), _run_ts())
+    return ticket.join(prediction.drop("created_at"), "ticket_id").select(
+        F.sha2("text", 256).alias("text_hash"), "source", "user_id", "predicted_priority", F.round("confidence", 6).alias("confidence"), "latency_ms",
+        F.col("created_at").cast("timestamp_ntz").alias("created_at"),
+    )
+
+
+@query
+def feedback_stored(spark, sf_dir):
+    """Every verdict as a row of the feedback table."""
+    accepted = B.feedback(spark, sf_dir).withColumns({"request_id": F.col("prediction_id"), "note": F.col("user_id")})
+    rows = tables.feedback_rows(accepted, _run_ts())
+    ids = F.count(F.lit(1)).over(Window.partitionBy("feedback_id"))
+    return rows.select("prediction_id", "verdict", "note", ids.alias("rows_of_id"), F.col("created_at").cast("timestamp_ntz").alias("created_at"))
+
+
 # --- Terms and baseline model --------------------------------------------------------------------
 
 
@@ -591,12 +649,18 @@ def tfidf_terms(spark, sf_dir):
 
 @query
 def baseline_model(spark, sf_dir):
-    """M6: fitted on the documents' own priorities, then applied to them."""
+    """M6: fitted on the documents' own priorities, then applied to them. One row per term; the model must end
+    below the loss it starts from, and be right more often than the most frequent label."""
     labelled = spread(B.documents(spark, sf_dir), "ticket_id").join(
         B.document_predictions(spark, sf_dir).select("ticket_id", F.col("predicted_priority").alias("priority")), "ticket_id"
     )
-    model = baseline.fit_baseline(labelled, max_iter=20)
-    return baseline.predict_baseline(model, labelled).select("ticket_id", "priority", "pred_label")
+    model = baseline.fit_baseline(labelled)
+    right = baseline.predict_baseline(model, labelled).agg(F.avg((F.col("pred_label") == F.col("priority")).cast("double"))).scalar()
+    constant = labelled.groupBy("priority").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n") / F.sum("n")).scalar()
+    return model.terms.select(
+        "term", "df", F.round("idf", 6).alias("idf"), F.lit(model.n_rows).cast("long").alias("n_rows"),
+        F.lit(model.last_loss < model.first_loss).alias("lower_loss"), (right > constant).alias("better_than_constant"),
+    )
 
 
 # --- Prompts and replies -------------------------------------------------------------------------
@@ -679,7 +743,8 @@ def generation_summary(spark, sf_dir):
 
 
 def _prediction_lines(spark, sf_dir):
-    return events.event_lines(B.predictions(spark, sf_dir).drop("created_at"), "prediction")
+    texts = B.tickets(spark, sf_dir).select("ticket_id", "text")
+    return events.event_lines(B.predictions(spark, sf_dir).join(texts, "ticket_id"), "prediction", text="text")
 
 
 @query
@@ -748,11 +813,43 @@ def dataset_roundtrip(spark, sf_dir):
     return back.select(F.col("ticket_id").cast("long").alias("ticket_id"), "ticket_text", "priority")
 
 
+@query
+def upload_tickets(spark, sf_dir):
+    """Uploads as pending tickets of the user who sent them."""
+    rows = uploads.pending_tickets(uploads.cap_uploads(_uploaded(spark, sf_dir)), _upload("file").cast("string"), _run_ts())
+    return rows.groupBy("user_id", "source").agg(
+        F.count(F.lit(1)).alias("n_tickets"), F.countDistinct("ticket_id").alias("n_ids"), F.sum(F.length("text")).alias("chars"),
+        F.count("resolved_at").alias("n_resolved"),
+    )
+
+
+def _in_files(rows, key, path):
+    """CSV part files in the order of ``key``."""
+    datasets.write_dataset(rows.repartitionByRange(4, key).sortWithinPartitions(key), path, "csv")
+
+
+@query
+def dataset_cap(spark, sf_dir):
+    """Exactly the first 1,000 rows in the order of the files."""
+    path = scratch_path(spark, "dataset-cap")
+    _in_files(B.grid_rows(spark, sf_dir).select("ticket_id", F.col("issue_sub_category").alias("ticket_text"), "priority"), "ticket_id", path)
+    back = datasets.load_labelled(spark, path, max_rows=1000)
+    return back.select(F.col("ticket_id").cast("long").alias("ticket_id"), "priority")
+
+
+@query
+def saved_texts(spark, sf_dir):
+    """User messages saved over several files; the last text of a conversation wins."""
+    path = scratch_path(spark, "saved")
+    _in_files(B.user_messages(spark, sf_dir).select("position", "ticket_id", "ticket_text"), "position", path)
+    return generation.existing_texts(datasets.saved_texts(spark, path), "position")
+
+
 # --- Streams -------------------------------------------------------------------------------------
 
 
 def _request_stream(spark, sf_dir):
-    stream = windows.read_stream(spark, sf_dir, "events.parquet")
+    stream = windows.table_stream(spark, sf_dir, "events.parquet")
     return stream.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
 
 
@@ -767,10 +864,22 @@ def stream_request_windows(spark, sf_dir):
 
 @query
 def stream_request_decisions(spark, sf_dir):
-    """Equal to the batch decisions when everything arrives at once."""
+    """Equal to the batch decisions when requests arrive in order, here in four micro-batches."""
     path = scratch_path(spark, "stream-decisions")
+    requests = B.requests(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    quarters = F.ntile(4).over(Window.orderBy("day"))
+    days = requests.groupBy(F.to_date("ts").alias("day")).count().withColumn("quarter", quarters)
+    edges = [r["noon"] for r in days.groupBy("quarter").agg((F.max("day").cast("timestamp") + F.expr("interval 12 hours")).alias("noon")).orderBy("quarter").collect()]
+    low = None
+    for high in [*edges[:-1], None]:
+        # Cut at noon, so that windows go on in the next micro-batch.
+        part = requests if low is None else requests.where(F.col("ts") >= low)
+        part = part if high is None else part.where(F.col("ts") < high)
+        part.coalesce(1).write.mode("append").parquet(f"{path}/arriving")
+        low = high
+    arriving = windows.read_stream(spark, f"{path}/arriving", files_per_batch=1)
     limits.decide_stream(
-        _request_stream(spark, sf_dir), f"{path}/rows", f"{path}/counters", f"{path}/checkpoint",
+        arriving, f"{path}/rows", f"{path}/counters", f"{path}/checkpoint",
         limit=LIMIT, window=WINDOW,
     ).awaitTermination()
     rows = spark.read.parquet(f"{path}/rows")
@@ -784,12 +893,13 @@ def stream_request_decisions(spark, sf_dir):
 def stream_pending_scoring(spark, sf_dir):
     """Documents arriving as a stream; the same rows as the batch job."""
     path = scratch_path(spark, "stream-pending")
-    arriving = windows.read_stream(spark, sf_dir, "documents.parquet").select(
+    arriving = windows.table_stream(spark, sf_dir, "documents.parquet").select(
         F.col("doc_id").cast("string").alias("ticket_id"), "text"
     )
     pending.score_pending_stream(
         arriving, f"{path}/rows", f"{path}/checkpoint", scoring.column_scorer(B.text_features, B.text_logits), "1", "run-1", _run_ts()
     ).awaitTermination()
     return tables.read_table(spark, f"{path}/rows", S.PREDICTIONS).select(
-        "ticket_id", "predicted_priority", F.round("confidence", 6).alias("confidence"), "model_version", "model_run_id"
+        "ticket_id", "predicted_priority", F.round("confidence", 6).alias("confidence"), "model_version", "model_run_id",
+        F.col("created_at").cast("timestamp_ntz").alias("created_at"),
     )
