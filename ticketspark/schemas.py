@@ -104,33 +104,11 @@ FEEDBACK = T.StructType([
     T.StructField("created_at", T.TimestampType(), False),
 ])
 
-REQUEST_COUNTERS = T.StructType([
-    T.StructField("user_id", T.StringType(), False),
-    T.StructField("window_start_minute", T.TimestampType(), False),
-    T.StructField("count", T.LongType(), False),
-])
-
 GRID_COLUMNS = [
     "ticket_id", "issue_area", "issue_category", "issue_sub_category", "customer_sentiment",
     "issue_complexity", "product_category", "product_sub_category", "priority",
 ]
 
-DATASET = T.StructType(
-    [T.StructField("ticket_id", T.LongType()), T.StructField("ticket_text", T.StringType())]
-    + [T.StructField(name, T.StringType()) for name in GRID_COLUMNS[1:]]
-)
-
-MODEL_VERSIONS = T.StructType([
-    T.StructField("display_name", T.StringType(), False),
-    T.StructField("version", T.IntegerType(), False),
-    T.StructField("run_id", T.StringType(), False),
-    T.StructField("artifact_uri", T.StringType(), False),
-    T.StructField("description", T.StringType(), False),
-    T.StructField("labels", T.MapType(T.StringType(), T.StringType()), False),
-    T.StructField("is_default", T.BooleanType(), False),
-    T.StructField("create_time", T.TimestampType(), False),
-])
-
 
 def vocabulary(spark: SparkSession) -> DataFrame:
     """The four labels with their ids; a fixed four-row table."""
