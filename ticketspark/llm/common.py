@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import sys
+import types
 import uuid
 from collections.abc import Iterator
 
@@ -48,6 +50,15 @@ def file_system(uri: str) -> tuple[pa.fs.FileSystem, str]:
     return pa.fs.LocalFileSystem(), uri
 
 
+def per_process(key: tuple, make):
+    """One object per Python worker process, kept between its tasks. Code that travels by value has
+    no module of its own on an executor, so the objects hang in a module made for them."""
+    store = sys.modules.setdefault("_ticketspark_kept", types.ModuleType("_ticketspark_kept")).__dict__
+    if key not in store:
+        store[key] = make()
+    return store[key]
+
+
 class Output:
     """A file that appears under its name only when it is complete, so a task may be run again."""
 

@@ -20,6 +20,8 @@ no file and no rows; other columns stay out.
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ticketspark.llm.common import Output, WORD, file_system, slices, texts
+from ticketspark.llm.common import WORD, Output, file_system, per_process, slices, texts
 from ticketspark.session import scratch_path, written
 
 # The layout of the words, as (values, bits) by selector; 14 is not used, 15 is an escape.
@@ -215,29 +217,58 @@ class Reader:
             at = stop
 
 
-def word_encoder(tokenizer_path: str, end_id: int | None, table: int = 250_000) -> Callable[[list[str]], list[np.ndarray]]:
-    """Texts to ids with a tokenizer that never joins text across ASCII white space: each distinct word
-    is encoded once while it stays in a table of bounded size."""
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    model = Tokenizer.from_file(tokenizer_path)
-    known: dict[str, bytes] = {}
+# Fixed value: the splitting rule of a known tokenizer. Texts of ASCII and Latin-1 letters fall by it into runs
+# of letters, digits and signs that the tokenizer never joins.
+SPLIT_RULE = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+LETTERS, SIGNS = "A-Za-zÀ-ÖØ-öø-ÿ", "!-&(-/:-@\\[-`{-~"
+RUN = re.compile(f"[{LETTERS}]+|[0-9]|[{SIGNS}]+")
+OTHER = re.compile(f"[^{LETTERS}0-9{SIGNS}\x20\x09-\x0D]|<\\|")
+
+# Byte-level characters of the Latin-1 letters: printable bytes stand for themselves, the others follow from 256 on.
+PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTES = dict(zip([b for b in range(256) if b not in PLAIN], range(256, 512), strict=False))
+BYTE_LEVEL = {c: "".join(chr(BYTES.get(b, b)) for b in chr(c).encode()) for c in range(128, 256)}
+
+
+class Table(dict):
+    """Chunk -> ids as bytes; each chunk goes through the tokenizer once while the table holds it."""
+
+    def __init__(self, tokenizer_path: str, limit: int):
+        import tokenizers
+
+        super().__init__()
+        self.model, self.limit = tokenizers.Tokenizer.from_file(tokenizer_path), limit
+        with open(tokenizer_path, encoding="utf-8") as file:
+            rules = json.load(file)
+        steps = (rules.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        self.by_runs = (steps[0].get("pattern") or {}).get("Regex") == SPLIT_RULE and rules["normalizer"]["normalizers"][-1]["type"] == "Lowercase"
+
+    def __missing__(self, chunk: str) -> bytes:
+        if self.by_runs and RUN.fullmatch(chunk):
+            # What the tokenizer's own steps make of a run: lower case, then one character per byte.
+            ids = [t.id for t in self.model.model.tokenize(chunk.lower().translate(BYTE_LEVEL))]
+        else:
+            ids = self.model.encode(chunk, add_special_tokens=False).ids
+        made = self[chunk] = np.array(ids, "<u4").tobytes()
+        return made
+
+    def chunks(self, text: str) -> list[str]:
+        if self.by_runs and not OTHER.search(text):
+            return RUN.findall(text.lower())
+        return WORD.findall(text)
+
+    def encode(self, text: str | None, end: bytes) -> np.ndarray:
+        if len(self) > self.limit:
+            self.clear()
+        return np.frombuffer(b"".join(map(self.__getitem__, self.chunks(text or ""))) + end, "<u4")
+
+
+def word_encoder(tokenizer_path: str, end_id: int | None, limit: int = 500_000) -> Callable[[list[str]], list[np.ndarray]]:
+    """Texts to ids with a tokenizer that never joins text across ASCII white space, with a table of bounded
+    size that a worker process keeps between its tasks."""
+    table = per_process(("tokens", tokenizer_path, limit), lambda: Table(tokenizer_path, limit))
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-
-    def run(values: list[str]) -> list[np.ndarray]:
-        cut = [WORD.findall(v) if v else [] for v in values]
-        if len(known) > table:
-            known.clear()
-        new = [w for w in {w for words in cut for w in words} if w not in known]
-        for word, made in zip(new, model.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[word] = np.array(made.ids, "<u4").tobytes()
-        get = known.__getitem__
-        return [np.frombuffer(b"".join(map(get, words)) + end, "<u4") for words in cut]
-
-    return run
+    return lambda values: [table.encode(v, end) for v in values]
 
 
 def write_token_files(
