@@ -215,3 +215,41 @@ def test_M7_promote(runs):
     old = selection.register_models(runs(("a", 0.9, 0.9, 1), ("b", 0.8, 0.7, 2)))
     new = selection.promote(old, runs(("c", 0.7, 0.7, 3)))
     assert pairs(new, "version", "run_id", "is_default") == [(1, "a", False), (2, "b", False), (3, "c", True)]
+
+
+def test_X1_loads_once_per_worker_process(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def load():
+        import os
+        import uuid
+
+        open(f"{folder}/{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+        return lambda batch: np.zeros((len(batch), 4))
+
+    tickets = spark.range(400).repartition(40).select(F.col("id").cast("string").alias("ticket_id"), F.lit("some text").alias("ticket_text"))
+    scorer = scoring.batch_scorer(load)
+    for _ in range(2):
+        assert scoring.score(tickets, scorer).where("not skipped").count() == 400
+        scoring.score(tickets, scorer).write.format("noop").mode("overwrite").save()
+    loads = [p.name.split("-")[0] for p in tmp_path.iterdir()]
+    assert len(loads) == len(set(loads)) and 0 < len(loads) < 40
+
+
+def test_M5_writes_a_line_per_scored_ticket_and_an_error_record(spark, texts):
+    path = scratch_path(spark, "test-lines")
+    for _ in range(2):
+        run(spark, texts("good text", " ", "more text"), fixed_scorer(EVEN), events_path=path)
+    lines = [json.loads(v) for v in column(spark.read.text(path), "value")]
+    assert sorted((x["ticket_id"], x["input_preview"], x["input_length_chars"], x["run_id"]) for x in lines) == [
+        ("t0", "good text", 9, "r1"), ("t2", "more text", 9, "r1")]
+
+    def load():
+        raise RuntimeError("no model")
+
+    errors, summaries = [], []
+    with pytest.raises(Exception, match="no model"):
+        scoring.run_batch(texts("good text"), selection.empty_predictions(spark), path, scoring.batch_scorer(load), "1", None, "r9", run_ts(),
+                          on_summary=summaries.append, on_error=errors.append)
+    record = json.loads(errors[0])
+    assert (record["severity"], record["event"]) == ("ERROR", "batch_predict.error") and "no model" in record["error"] and record["traceback"]

@@ -4,7 +4,7 @@ import pytest
 from conftest import T0, column, pairs
 from pyspark.sql import functions as F
 
-from ticketspark.operators import feedback, usage
+from ticketspark.operators import feedback, ranking, usage
 
 
 @pytest.fixture
@@ -109,3 +109,23 @@ def test_S9(world):
     rows = feedback_rows(accepted, F.lit(T0))
     assert rows.columns == S.FEEDBACK.fieldNames()
     assert rows.select("feedback_id").distinct().count() == 2
+
+
+def test_W3_a_burst_at_one_instant_lies_in_many_ranges(spark):
+    df = spark.range(20_000).select(F.col("id").alias("event_id"), F.lit("hot").alias("user_id"), F.lit(T0).alias("ts"))
+    sizes = column(ranking.in_ranges(df, [F.col("user_id"), F.col("ts"), F.col("event_id")], 10).groupBy("_part").count(), "count")
+    assert len(sizes) == 10 and max(sizes) < 4_000
+    got = usage.request_decisions(df, 50, parts=10)
+    assert got.where(F.col("request_number") != F.col("event_id") + 1).count() == 0 and got.count() == 20_000
+
+
+def test_W5_an_outlier_moves_no_other_row(spark):
+    df = spark.range(20_000).select(F.when(F.col("id") == 7, F.lit(2**60)).otherwise(F.col("id")).alias("k"))
+    assert max(column(ranking.in_ranges(df, [F.col("k")], 10).groupBy("_part").count(), "count")) < 4_000
+    assert ranking.dense_index(df, "k", "i", 10).where("k > 7 AND k < 20000 AND i <> k - 1").count() == 0
+
+
+def test_T3_null_and_repeated_keys(spark):
+    df = spark.createDataFrame([(1,), (1,), (1,), (None,), (None,), (0,)], "k long")
+    for n, want in ((0, []), (2, [0, 1]), (4, [0, 1, 1, 1]), (5, [0, 1, 1, 1, None]), (9, [0, 1, 1, 1, None, None])):
+        assert sorted(column(ranking.first_rows(df, "k", n, 3), "k"), key=lambda k: (k is None, k or 0)) == want
