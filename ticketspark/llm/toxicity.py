@@ -19,7 +19,8 @@ clean row to learn from all scores are 0; a null id is never held out; other col
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from ticketspark.llm.common import WORD, fold, slices, texts
 BUCKETS = 1 << 17
 SIZE = 8
 SPAN = 12
-TABLE = 400_000
+TABLE = 200_000
 
 
 def cleaned(word: str) -> str:
@@ -56,34 +57,37 @@ def group_sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, starts)
 
 
-def fit(rows: list[tuple[str, int]], steps: int = 100, rate: float = 0.1, decay: float = 1e-6, seed: int = 7) -> dict | None:
+def fit(rows: Iterable[tuple[str, int]], steps: int = 100, rate: float = 0.1, decay: float = 1e-6, seed: int = 7) -> dict | None:
     """Embeddings, softmax weights and bias from (text, label) rows.
 
     With two classes the loss reaches a bucket's vector along the difference of the two softmax columns
     only, so a step needs one number per span, word and bucket.
     """
     known: dict[str, int] = {}
-    tokens, sizes, spans_of, labels = [], [], [], []
+    tokens, sizes, spans_of, labels = array("i"), array("i"), array("i"), array("b")
     for text, label in rows:
         words = WORD.findall(text)
-        made = [{known.setdefault(w, len(known)) for w in words[i:i + SPAN]} for i in range(0, len(words), SPAN)]
-        if made:
-            tokens += [np.fromiter(s, np.int32, len(s)) for s in made]
-            sizes += map(len, made)
-            spans_of.append(len(made))
+        for i in range(0, len(words), SPAN):
+            span = {known.setdefault(w, len(known)) for w in words[i:i + SPAN]}
+            tokens.extend(span)
+            sizes.append(len(span))
+        if words:
+            spans_of.append(-(-len(words) // SPAN))
             labels.append(label)
     y = np.array(labels, np.int64)
     if len(y) == 0 or y.min() == y.max():
         return None
-    tokens, sizes = np.concatenate(tokens), np.array(sizes)
+    flat, bag_sizes = array("i"), array("i")
+    for word in known:
+        bag = subwords(word)
+        flat.extend(bag)
+        bag_sizes.append(len(bag))
+    del known
+    tokens, sizes, spans_of, flat, bag_sizes = (np.frombuffer(x, np.int32) for x in (tokens, sizes, spans_of, flat, bag_sizes))
     span_starts = np.cumsum(sizes) - sizes
-    text_starts = np.cumsum(spans_of) - np.array(spans_of)
+    text_starts = np.cumsum(spans_of) - spans_of
     owner = np.repeat(np.arange(len(y)), spans_of)
-    bags = [subwords(w) for w in known]
-    bag_sizes = np.array([len(b) for b in bags])
     bag_starts = np.cumsum(bag_sizes) - bag_sizes
-    flat = np.concatenate([np.array(b, np.int32) for b in bags])
-    del bags, known
 
     random = np.random.default_rng(seed)
     weights = {
@@ -163,13 +167,15 @@ def train(
     """Embeddings and softmax from a bounded sample; None where it has one class only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, left = [], max_chars
-        for part in slices(batches):
-            for _, text, label in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                left -= len(text)
-                if left >= 0:
-                    rows.append((text, label))
-        weights = fit(rows)
+        def rows():
+            left = max_chars
+            for part in slices(batches):
+                for _, text, label in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    left -= len(text)
+                    if left >= 0:
+                        yield text, label
+
+        weights = fit(rows())
         if weights:
             yield pa.RecordBatch.from_pylist([{k: v.astype("<f4").tobytes() for k, v in weights.items()}])
 
