@@ -37,8 +37,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SentencePiece ids, and the text that they decode to."""
-    model = vocabulary("piece_bpe_32k.model")
-    return pieces.decode(pieces.encode(docs, model), model)
+    return pieces.encode_and_decode(docs, vocabulary("piece_bpe_32k.model"))
 
 
 STAGES = [

@@ -63,6 +63,7 @@ def test_op7(docs, none):
     got = bag(pieces.decode(pieces.encode(docs, path), path), "doc_id", "ids", "text")
     assert got == sorted(((i, model.encode(t or "", add_eos=True), model.decode(model.encode(t or "", add_eos=True))) for i, t, _ in ROWS), key=repr)
     assert pieces.decode(pieces.encode(none, path), path).count() == 0
+    assert bag(pieces.encode_and_decode(docs, path), "doc_id", "ids", "text") == got and pieces.encode_and_decode(none, path).count() == 0
 
 
 @pytest.mark.parametrize("text", [

@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketspark.llm.common import slices, texts
+from ticketspark.llm.common import per_process, slices, texts
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
-TABLE = 250_000
+TABLE = 150_000
 
 
 def load(path: str):
@@ -53,14 +53,14 @@ class Encoder:
     def learn(self, chunks: set[str]) -> None:
         if len(self.table) > self.limit:
             self.table = {}
-        new = [c for c in chunks if c not in self.table]
+        new = list(chunks - self.table.keys())
         # The library puts one marker in front by itself.
         for chunk, ids in zip(new, self.model.encode([c[1:] for c in new], num_threads=1), strict=True):
             self.table[chunk] = np.array(ids, "<i4").tobytes() if ids else self.lone
 
     def __call__(self, values: list[str | None]) -> list[bytes]:
         cut = [CHUNK.findall(MARK + v.replace(" ", MARK)) if v else [] for v in values]
-        self.learn({c for chunks in cut for c in chunks})
+        self.learn(set().union(*cut))
         get = self.table.__getitem__
         return [b"".join(map(get, chunks)) + self.end for chunks in cut]
 
@@ -79,7 +79,7 @@ class Decoder:
     def learn(self, runs: set[bytes]) -> None:
         if len(self.table) > self.limit:
             self.table = {}
-        new = [r for r in runs if r not in self.table]
+        new = list(runs - self.table.keys())
         decoded = self.model.decode([[self.front, *np.frombuffer(r, "<i4").tolist()] for r in new]) if new else []
         for run, text in zip(new, decoded, strict=True):
             self.table[run] = text[len(self.front_text):]
@@ -94,7 +94,7 @@ class Decoder:
             edges = (np.unique(np.concatenate([[0], at, [len(ids)]])) * 4).tolist()
             raw = ids.astype("<i4").tobytes()
             cut.append([raw[a:b] for a, b in zip(edges, edges[1:], strict=False)])
-        self.learn({r for runs in cut if runs for r in runs})
+        self.learn(set().union(*(runs for runs in cut if runs)))
         get = self.table.__getitem__
         joined = [None if runs is None else "".join(map(get, runs)) for runs in cut]
         # The library takes one blank off the front of a text that starts with a marker.
@@ -121,7 +121,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     frame = texts(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(model_path)
+        encoder = per_process(("pieces", model_path), lambda: Encoder(model_path))
         for part in slices(batches):
             yield pa.RecordBatch.from_arrays([part.column(0), id_lists(encoder(part.column(1).to_pylist()))], ["doc_id", "ids"])
 
@@ -133,9 +133,24 @@ def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col:
     frame = encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(model_path)
+        decoder = per_process(("texts", model_path), lambda: Decoder(model_path))
         for part in slices(batches):
             made = pa.array(decoder(lists_of(part.column(1))), pa.string())
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), made], ["doc_id", "ids", "text"])
 
     return frame.mapInArrow(run, f"doc_id {frame.schema['doc_id'].dataType.simpleString()}, ids array<int>, text string")
+
+
+def encode_and_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids, text: ``decode(encode(docs))`` in one pass, so that rows go to Python and back once."""
+    frame = texts(docs, id_col, text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = per_process(("pieces", model_path), lambda: Encoder(model_path))
+        decoder = per_process(("texts", model_path), lambda: Decoder(model_path))
+        for part in slices(batches):
+            raw = encoder(part.column(1).to_pylist())
+            made = pa.array(decoder([np.frombuffer(r, "<i4") for r in raw]), pa.string())
+            yield pa.RecordBatch.from_arrays([part.column(0), id_lists(raw), made], ["doc_id", "ids", "text"])
+
+    return frame.mapInArrow(run, f"doc_id {frame.schema['doc_id'].dataType.simpleString()}, ids array<int>, text string")

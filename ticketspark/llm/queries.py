@@ -56,8 +56,7 @@ FROM t WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)
 
 @query
 def op7_sentencepiece(spark, sf_dir):
-    model = vocabulary("piece_bpe_32k.model")
-    whole = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), model), model)
+    whole = pieces.encode_and_decode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
     return whole.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
