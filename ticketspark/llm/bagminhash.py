@@ -157,6 +157,16 @@ def verified(pairs: DataFrame, node_texts: DataFrame, threshold: float) -> DataF
     return with_both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
 
 
+def joined_further(joined: DataFrame, found: DataFrame) -> DataFrame:
+    """(node, component) with the new links; only components that a new link touches are worked on."""
+    of = [joined.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}")) for side in "ab"]
+    lifted = found.join(of[0], "a", "left").join(of[1], "b", "left").select(
+        F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    merged = components(lifted)
+    moved = joined.join(merged.select(F.col("node").alias("component"), F.col("component").alias("now")), "component", "left")
+    return written(moved.select("node", F.coalesce("now", "component").alias("component")).unionByName(merged), "joined")
+
+
 def near_duplicates(
     docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text",
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -205,11 +215,10 @@ def near_duplicates(
         pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         found = written(verified(pairs, node_texts, threshold), "verified")
         links, tested = links.union(found), tested.union(pairs)
+        if not found.isEmpty():
+            joined = joined_further(joined, found)
         if pivots >= most:
-            joined = components(links)
             break
-        if not found.isEmpty():
-            joined = components(links)
         pivots, before = pivots * 8, pivots
 
     named = nodes.join(joined, "node", "left").select(
