@@ -12,7 +12,7 @@ register's time are never made.
 Texts with equal words are one node. Nodes that share a band of ``ROWS`` registers are candidates. In a
 bucket, each member is held against the first few nodes (pivots) of another component than its own; verified
 links join components, buckets within one component are done, and the others go on with eight times the pivots, until
-every member has met every other or their component. So a group of n copies costs about n comparisons, no bucket
+every member has met every other or their component. So a group of n copies that reach the threshold with their pivots costs about n comparisons, no bucket
 is cut, and a link is only left out between texts that are already connected. 128 registers in 25 bands of
 5 miss a pair of similarity 0.8 once in 20,000.
 
