@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,6 +151,25 @@ def test_op9(docs, none):
     assert {(r.train_tokens, r.n_known, r.base_score) for r in alone} == {(0, 0, 0.0)}
 
 
+def test_op9_counts_meet_summed(spark, docs):
+    """A shard gets every key once, however many tasks count it; before, it got each task's own count."""
+    frame = maxent_lm.learning(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), F.lit(False))
+
+    def counted(parts):
+        made = maxent_lm.count_contexts(frame.repartition(parts), np.empty(0, np.uint64))
+        out = {}
+        for r in made.collect():
+            keys, counts = np.frombuffer(r["keys"], "<u4").tolist(), np.frombuffer(r["counts"], "<i8").tolist()
+            assert all(k // maxent_lm.CLASSES // (maxent_lm.FREQUENT + 1) % maxent_lm.SHARDS == r["shard"] for k in keys)
+            assert len(set(keys)) == len(keys) and not out.keys() & set(keys)
+            out |= zip(keys, counts, strict=True)
+        return out, made._jdf.queryExecution().optimizedPlan().toString()
+
+    one, plan = counted(1)
+    assert one and counted(40)[0] == one
+    assert "sum(n" in plan[plan.index("FlatMapGroupsInArrow"):plan.index("MapInArrow send")]
+
+
 def test_op10(spark, docs, none):
     labels = spark.createDataFrame(
         [(1, 0, "x"), (4, 0, "x"), (9, 1, "x"), (9, 0, "x"), (10, 1, "x"), (None, 1, "x"), (11, None, "x"), (77, 1, "x"), (6, 5, "x")],
