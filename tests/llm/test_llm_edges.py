@@ -237,3 +237,14 @@ def test_op1(spark):
     got = sorted(tuple(r) for r in bitsliced.top_k(frame, F.col("vec_id") % 100 == 0).collect())
     assert got == brute_top_k(rows)
     assert bitsliced.top_k(frame.filter("false"), F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_op1_large_components(spark):
+    big = float(2**33)
+    rows = [(0, [40000.0, -0.5]), (100, [1.0, big]), (1, [50000.0, 3.0]), (2, [-70000.0, 0.25]), (3, [0.001, -100.0]), (200, [-65536.0, 0.0]),
+            (4, [0.5, 0.5]), (300, [0.0]), (5, [-float(2**53)])]
+    frame = spark.createDataFrame([(*r, 1, "b") for r in rows], VECTORS)
+    assert sorted(tuple(r) for r in bitsliced.top_k(frame, F.col("vec_id") % 100 == 0).collect()) == brute_top_k(rows)
+    for over in ([(0, [1e12]), (1, [1e12])], [(0, [0.0]), (1, [1e300])]):
+        with pytest.raises(Exception, match="does not fit a long"):
+            bitsliced.top_k(spark.createDataFrame([(*r, 1, "b") for r in over], VECTORS), F.col("vec_id") % 100 == 0).collect()

@@ -11,8 +11,8 @@ from the slices. Each block gives at most k rows per query, of which a rank over
 
 Queries travel in groups of ``GROUP``. A pair of block and group is one row of work; both sides
 are keyed by (block, group), so work is spread evenly whatever the ids are. Defined results: vectors
-that are null, or hold a null, a non-finite component or one beyond +-32,768 take no part, nor do null
-ids; a query meets vectors of its own length only, and no row with its own id; rows that repeat an id
+that are null, or hold a null or a non-finite component take no part, nor do null ids; a component whose integer, or
+a found score, does not fit a long is an error, and slices are as wide as a block's values need; a query meets vectors of its own length only, and no row with its own id; rows that repeat an id
 are rows of their own as candidates, and one query per distinct vector; ties go to the smaller id;
 an empty vector scores 0; an empty table has no rows; other columns stay out.
 """
@@ -32,17 +32,19 @@ from ticketspark.session import written
 BLOCK = 8192
 GROUP = 128
 SCALE = 1024
-LARGEST = 32_768
+LARGEST = float(2**63 // SCALE)
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id, dims, q (integers) of the vectors that take part."""
     x = F.col(vector_col).cast("array<double>")
-    fine = F.forall("x", lambda v: F.coalesce(F.abs(v) <= LARGEST, F.lit(False)))
+    fine = F.forall("x", lambda v: F.coalesce(F.abs(v) < float("inf"), F.lit(False)))
+    fits = F.forall("x", lambda v: (v >= -LARGEST) & (v < LARGEST))
+    q = F.when(fits, F.transform("x", lambda v: F.floor(v * SCALE))).otherwise(F.raise_error("a component does not fit a long"))
     return (
         vectors.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x"))
         .filter(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & fine)
-        .select("vec_id", F.size("x").alias("dims"), F.transform("x", lambda v: F.floor(v * SCALE).cast("int")).alias("q"),
+        .select("vec_id", F.size("x").alias("dims"), q.alias("q"),
                 F.monotonically_increasing_id().alias("row_id"))
     )
 
@@ -61,10 +63,11 @@ def build_blocks(rows: DataFrame, n_rows: int) -> DataFrame:
         block, dims = group["block"][0].as_py(), group["dims"][0].as_py()
         values = matrix(group["q"].combine_chunks(), dims).astype(np.int64)
         low = int(values.min(initial=0))
-        width = max(1, int(values.max(initial=0) - low).bit_length())
-        lifted = (values - low).T
-        bits = np.stack([(lifted >> b) & 1 for b in range(width)], 1).astype(np.uint8)
-        packed = np.packbits(bits, axis=2, bitorder="little")
+        width = max(1, (int(values.max(initial=0)) - low).bit_length())
+        # Modulo 2^64, where the difference of two longs fits.
+        lifted = (values.view(np.uint64) - np.uint64(low % (1 << 64))).T
+        packed = np.stack([
+            np.packbits(((lifted >> np.uint64(b)) & np.uint64(1)).astype(np.uint8), axis=1, bitorder="little") for b in range(width)], 1)
         padded = np.zeros((dims, width, -(-len(group) // 64) * 8), np.uint8)
         padded[:, :, :packed.shape[2]] = packed
         return pa.table({
@@ -102,17 +105,18 @@ def add_up(terms: np.ndarray) -> np.ndarray:
 def score_slices(slices: np.ndarray, low: int, query: np.ndarray) -> tuple[np.ndarray, int]:
     """Slices of (score - constant) for all rows of a block, and the constant."""
     dims, width, words = slices.shape
-    weight = np.abs(query)
+    # The absolute value of the smallest long fits without a sign only.
+    weight = np.abs(query).view(np.uint64)
     places = max(1, int(weight.max(initial=0)).bit_length())
     total = width + places + max(1, dims).bit_length()
     ones = (1 << width) - 1
     # Row value v = low + u; a negative weight takes ones - u, the complement, instead of -u.
-    constant = int(query.sum()) * low - int(weight[query < 0].sum()) * ones
+    constant = sum(query.tolist()) * low - sum(weight[query < 0].tolist()) * ones
     sum_ = np.zeros((1, total, words), np.uint64)
     for place in range(places - 1, -1, -1):
         sum_[:, 1:] = sum_[:, :-1].copy()
         sum_[:, 0] = 0
-        chosen = np.flatnonzero((weight >> place) & 1)
+        chosen = np.flatnonzero((weight >> np.uint64(place)) & np.uint64(1))
         if len(chosen):
             terms = np.zeros((len(chosen) + len(sum_), total, words), np.uint64)
             terms[:len(chosen), :width] = slices[chosen]
@@ -142,6 +146,16 @@ def top_rows(scores: np.ndarray, allowed: np.ndarray, n: int, k: int) -> np.ndar
     return np.concatenate([found, positions(open_, n)[:k - len(found)]])
 
 
+def read_back(bits: np.ndarray, constant: int) -> np.ndarray:
+    """Scores from the bits of the chosen rows, (slices, rows)."""
+    if len(bits) <= 62 and abs(constant) < 1 << 62:
+        return (bits.astype(np.int64) << np.arange(len(bits))[:, None]).sum(0) + constant
+    values = [sum(1 << s for s in np.flatnonzero(row).tolist()) + constant for row in bits.T]
+    if any(not -1 << 63 <= v < 1 << 63 for v in values):
+        raise OverflowError("a score does not fit a long")
+    return np.array(values, np.int64)
+
+
 def search_block(ids: np.ndarray, low: int, slices: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int):
     n = len(ids)
     rows = np.zeros(slices.shape[2] * 64, np.uint8)
@@ -157,8 +171,7 @@ def search_block(ids: np.ndarray, low: int, slices: np.ndarray, query_ids: np.nd
                 allowed[place // 64] &= ~np.uint64(1 << (place % 64))
         chosen = top_rows(scores, allowed, n, k)
         bits = (scores[:, chosen // 64] >> (chosen % 64).astype(np.uint64)) & np.uint64(1)
-        value = (bits.astype(np.int64) << np.arange(len(scores))[:, None]).sum(0) + constant
-        yield query_id, ids[chosen], value
+        yield query_id, ids[chosen], read_back(bits, constant)
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
