@@ -658,7 +658,7 @@ def baseline_model(spark, sf_dir):
     right = baseline.predict_baseline(model, labelled).agg(F.avg((F.col("pred_label") == F.col("priority")).cast("double"))).scalar()
     constant = labelled.groupBy("priority").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n") / F.sum("n")).scalar()
     return model.terms.select(
-        "term", "df", F.round("idf", 6).alias("idf"), F.lit(model.n_rows).cast("long").alias("n_rows"),
+        "term", "df", F.round("idf", 6).alias("idf"), F.lit(model.n_documents).cast("long").alias("n_rows"),
         F.lit(model.last_loss < model.first_loss).alias("lower_loss"), (right > constant).alias("better_than_constant"),
     )
 
