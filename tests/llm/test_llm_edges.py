@@ -248,3 +248,20 @@ def test_op1_large_components(spark):
     for over in ([(0, [1e12]), (1, [1e12])], [(0, [0.0]), (1, [1e300])]):
         with pytest.raises(Exception, match="does not fit a long"):
             bitsliced.top_k(spark.createDataFrame([(*r, 1, "b") for r in over], VECTORS), F.col("vec_id") % 100 == 0).collect()
+
+
+def test_op10_long_texts_do_not_use_up_the_budget(spark):
+    """The text that comes first in hash order is above the whole budget; then all toxic texts are above theirs."""
+    ids = spark.range(40).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    first = ids.orderBy(F.xxhash64("doc_id")).first().doc_id
+    word = F.when(F.col("toxic") == 1, "wretchful ").otherwise("kettle ")
+    plain = ids.withColumn("text", F.repeat(word, F.lit(5)))
+
+    def bound(long):
+        docs = plain.withColumn("text", F.when(long, F.repeat(word, F.lit(1000))).otherwise(F.col("text"))).select("doc_id", "text")
+        return toxicity.train(docs, ids, F.lit(True), max_chars=4000)
+
+    without = toxicity.train(plain.filter(F.col("doc_id") != first), ids, F.lit(True))
+    got = bound(F.col("doc_id") == first)
+    assert got is not None and all(np.array_equal(got[k], without[k]) for k in without)
+    assert bound(F.col("toxic") == 1) is not None

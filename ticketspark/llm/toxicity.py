@@ -7,7 +7,8 @@ of its spans is, so one insult is not thinned out by a long text. Embeddings and
 jointly in numpy, with Adam.
 
 Learning uses at most ``max_rows`` labelled rows, half of them toxic if there are as many, taken in the
-order of a hash of their id, and of these at most ``max_chars`` characters; that bounded sample is
+order of a hash of their id, and of these at most ``max_chars`` characters, half for each label. A text that does not
+fit is passed over and costs nothing; a label none of whose texts fits keeps its shortest one. That sample is
 the only data that meets in one task. Scoring reads every whole text where it lies, without a shuffle;
 a task keeps a table of bounded size with a number for each distinct word.
 
@@ -168,12 +169,17 @@ def train(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
-            left = max_chars
+            left, used, shortest = [max_chars // 2] * 2, set(), {}
             for part in slices(batches):
                 for _, text, label in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    left -= len(text)
-                    if left >= 0:
+                    if len(text) <= left[label]:
+                        left[label] -= len(text)
+                        used.add(label)
                         yield text, label
+                    elif label not in used and len(text) < len(shortest.get(label, text + " ")):
+                        shortest[label] = text
+            for label in sorted(shortest.keys() - used):
+                yield shortest[label], label
 
         weights = fit(rows())
         if weights:
