@@ -115,6 +115,11 @@ def test_W2_one_text_in_a_third_of_all_rows(spark):
     assert kept.count() == 2001 and kept.where("ticket_text = 'same'").first().ticket_id == 1
 
 
+def test_W2_repeated_key_keeps_its_own_text(spark):
+    df = spark.createDataFrame([(1, "copy"), (2, "copy"), (2, "own"), (2, None)], "ticket_id long, ticket_text string")
+    assert pairs(cleaning.drop_duplicate_texts(df), "ticket_id", "ticket_text") == [(1, "copy"), (2, None), (2, "own")]
+
+
 def test_W2_groups_digests_not_texts(spark):
     df = spark.createDataFrame([(1, "a")], "ticket_id long, ticket_text string")
     plan = cleaning.drop_duplicate_texts(df)._jdf.queryExecution().optimizedPlan().toString()

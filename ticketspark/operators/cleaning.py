@@ -22,15 +22,16 @@ def drop_duplicate_texts(df: DataFrame, text: str = "ticket_text", key: str = "t
     """W2. Keep the row with the smallest key of each exact text; NULL texts all stay.
 
     Texts stay where they are: only (key, digest) rows are grouped and joined, equal digests merge before the shuffle,
-    and the rows meet the unique keys to drop, so no copy makes a hot key of whole texts.
+    and the rows meet the (key, digest) pairs to drop, so no copy makes a hot key of whole texts and a repeated key
+    loses its copies only.
     """
     rows = df.select(F.col(key).alias("_key"), F.sha2(F.col(text), 256).alias("_digest"))
     repeated = (
         rows.groupBy("_digest").agg(F.min("_key").alias("_first"), F.count(F.lit(1)).alias("_rows"))
         .where("_rows > 1").drop("_rows")
     )
-    surplus = rows.join(repeated, "_digest").where(F.col("_key") != F.col("_first")).select("_key")
-    return df.join(surplus, F.col(key) == F.col("_key"), "left_anti")
+    surplus = rows.join(repeated, "_digest").where(F.col("_key") != F.col("_first")).select("_key", "_digest")
+    return df.join(surplus, (F.col(key) == F.col("_key")) & (F.sha2(F.col(text), 256) == F.col("_digest")), "left_anti")
 
 
 def clean(df: DataFrame, text: str = "ticket_text", key: str = "ticket_id") -> DataFrame:
