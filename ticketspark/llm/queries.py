@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketspark.llm import bagminhash, bitsliced, exact_dedup, maxent_lm, mixing, pieces, simple8b, substring_dedup, toxicity, warc
+from ticketspark.llm import (
+    bagminhash, bitsliced, exact_dedup, maxent_lm, mixing, pieces, shard_shuffle, simple8b, substring_dedup, toxicity, warc,
+)
 from ticketspark.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -158,3 +160,8 @@ def op9_maxent_lm(spark, sf_dir):
 def op5_mix_sources(spark, sf_dir):
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mixed.select("doc_id", "source", "epoch", "n_tokens", "start", "place")
+
+
+@query
+def op11_shards(spark, sf_dir):
+    return shard_shuffle.shard_of_documents(table(spark, sf_dir, "documents"))
