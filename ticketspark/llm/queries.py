@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketspark.llm import (
-    bagminhash, bitsliced, exact_dedup, maxent_lm, mixing, pieces, shard_shuffle, simple8b, substring_dedup, toxicity, warc,
+    bagminhash, bitsliced, exact_dedup, maxent_lm, merkle_manifest, mixing, pieces, shard_shuffle, simple8b, substring_dedup,
+    toxicity, warc,
 )
 from ticketspark.session import scratch_path
 
@@ -165,3 +166,69 @@ def op5_mix_sources(spark, sf_dir):
 @query
 def op11_shards(spark, sf_dir):
     return shard_shuffle.shard_of_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_merkle(spark, sf_dir):
+    return merkle_manifest.verified_manifest(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_merkle"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source,
+    concat_ws('', coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR), '-'), coalesce(strlen(source) || ':' || source, '-'),
+      coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || CAST(n_chars AS VARCHAR), '-')) AS head,
+    text, replace(text, chr(10), '') AS joined,
+    list_reduce(flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+        lambda x: list_transform(range(8), lambda i: (CAST(ascii(x) AS BIGINT) >> CAST(i AS INTEGER)) % 2))),
+      lambda c, bit: CASE WHEN xor(c % 2, bit) = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, 4294967295) AS c
+  FROM documents
+), l AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    CASE WHEN xor(c, 4294967295) % 2 = 0 THEN sha256(head || coalesce(strlen(joined) || ':' || joined, '-'))
+         ELSE sha256(head || coalesce(strlen(text) || ':' || text, '-')) END AS seen
+  FROM d
+), r AS (
+  SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS grp,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank, count(*) OVER (PARTITION BY source) AS n
+  FROM l
+), nodes AS (
+  SELECT grp, 0 AS level, rank AS place, n, leaf AS digest FROM r
+  UNION ALL
+  SELECT grp, any_value(level) + 1, place // 3, (any_value(n) + 2) // 3, sha256(string_agg(digest, '' ORDER BY place))
+  FROM nodes WHERE n > 1 GROUP BY grp, place // 3
+), subs AS (
+  SELECT grp, digest, level AS height FROM nodes WHERE n = 1
+), tops AS (
+  SELECT 0 AS level, grp AS place, (SELECT count(*) FROM subs) AS n, digest FROM subs
+  UNION ALL
+  SELECT any_value(level) + 1, place // 3, (any_value(n) + 2) // 3, sha256(string_agg(digest, '' ORDER BY place))
+  FROM tops WHERE n > 1 GROUP BY place // 3
+), fold AS (
+  SELECT doc_id, leaf, grp, rank, 0 AS level, rank AS place, n, seen AS node, '' AS proof FROM r
+  UNION ALL
+  SELECT f.doc_id, f.leaf, f.grp, f.rank, f.level + 1, f.place // 3, (f.n + 2) // 3,
+    sha256(coalesce(s.digests_left, '') || f.node || coalesce(s.digests_right, '')),
+    f.proof || coalesce(s.digests_left, '') || coalesce(s.digests_right, '')
+  FROM fold f, LATERAL (
+    SELECT string_agg(x.digest, '' ORDER BY x.place) FILTER (x.place < f.place) AS digests_left,
+           string_agg(x.digest, '' ORDER BY x.place) FILTER (x.place > f.place) AS digests_right
+    FROM nodes x WHERE x.grp = f.grp AND x.level = f.level AND x.place // 3 = f.place // 3) s
+  WHERE f.n > 1
+), high AS (
+  SELECT f.doc_id, f.leaf, f.grp, f.rank, 0 AS level, f.grp AS place, (SELECT count(*) FROM subs) AS n, f.node, f.proof FROM fold f WHERE f.n = 1
+  UNION ALL
+  SELECT f.doc_id, f.leaf, f.grp, f.rank, f.level + 1, f.place // 3, (f.n + 2) // 3,
+    sha256(coalesce(s.digests_left, '') || f.node || coalesce(s.digests_right, '')),
+    f.proof || coalesce(s.digests_left, '') || coalesce(s.digests_right, '')
+  FROM high f, LATERAL (
+    SELECT string_agg(x.digest, '' ORDER BY x.place) FILTER (x.place < f.place) AS digests_left,
+           string_agg(x.digest, '' ORDER BY x.place) FILTER (x.place > f.place) AS digests_right
+    FROM tops x WHERE x.level = f.level AND x.place // 3 = f.place // 3) s
+  WHERE f.n > 1
+), root AS (
+  SELECT digest AS root FROM tops WHERE n = 1
+)
+SELECT h.doc_id, h.leaf, s.digest AS subroot, root, sha256(h.proof) AS proof_sha256, h.node AS folded_root, h.node = root AS verified
+FROM high h JOIN subs s USING (grp), root WHERE h.n = 1
+"""
