@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketspark.llm import (
-    bagminhash, bitsliced, exact_dedup, maxent_lm, merkle_manifest, mixing, pieces, shard_shuffle, simple8b, substring_dedup,
-    toxicity, warc,
+    bagminhash, bitsliced, exact_dedup, maxent_lm, merkle_manifest, mixing, phrase_stripes, pieces, shard_shuffle, simple8b,
+    substring_dedup, toxicity, warc,
 )
 from ticketspark.session import scratch_path
 
@@ -232,3 +232,49 @@ WITH RECURSIVE d AS (
 SELECT h.doc_id, h.leaf, s.digest AS subroot, root, sha256(h.proof) AS proof_sha256, h.node AS folded_root, h.node = root AS verified
 FROM high h JOIN subs s USING (grp), root WHERE h.n = 1
 """
+
+
+@query
+def op13_collocations(spark, sf_dir):
+    return phrase_stripes.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_collocations"] = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS piece, ws
+  FROM (
+    SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-
+]')), '[^ 	]+') AS ws
+    FROM documents)
+  WHERE len(ws) > 0
+), g AS (
+  SELECT lang, m, ws[i:i + m - 1] AS words
+  FROM (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM p), (SELECT unnest(range(1, 5)) AS m)
+  WHERE i + m - 1 <= len(ws)
+), f AS MATERIALIZED (
+  SELECT lang, m, words, count(*) AS f FROM g GROUP BY lang, m, words
+), n AS (
+  SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang
+), c AS MATERIALIZED (
+  SELECT lang, m, words, f AS a FROM f WHERE m > 1 AND f >= 30
+), inside AS (
+  SELECT lang, m - d AS m, words[1 + o:m - d + o] AS words, max(a) AS longer
+  FROM c, (SELECT unnest(range(1, 3)) AS d), (SELECT unnest(range(0, 3)) AS o) WHERE o <= d AND m - d > 1 GROUP BY ALL
+), cut AS MATERIALIZED (
+  SELECT lang, words, a, k, words[1:k] AS head, words[k + 1:m] AS tail
+  FROM (SELECT lang, m, words, a, unnest(range(1, m)) AS k FROM c)
+), k AS (
+  SELECT cut.lang, cut.words, a, k, l.f AS l, r.f AS r, CAST(2000000::HUGEINT * a // (l.f + r.f) AS BIGINT) AS score
+  FROM cut JOIN f l ON l.lang = cut.lang AND l.words = head JOIN f r ON r.lang = cut.lang AND r.words = tail
+), s AS (
+  SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, k) = 1
+), t AS (
+  SELECT s.lang, array_to_string(s.words, ' ') AS phrase, a, l, r, n, score
+  FROM s JOIN n USING (lang) LEFT JOIN inside i ON i.lang = s.lang AND i.words = s.words
+  WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM t QUALIFY rank <= 2000
+"""
