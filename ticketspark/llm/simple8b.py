@@ -294,6 +294,11 @@ def write_token_files(
     return files.withColumn("start", F.coalesce(F.sum("n_values").over(before), F.lit(0)))
 
 
+def _apart(files: DataFrame) -> DataFrame:
+    """A task per file; a stated count is not merged again."""
+    return files.select("path", "start").repartition(max(files.count(), 1))
+
+
 def read_token_files(files: DataFrame) -> DataFrame:
     """doc_id, start (tokens of all documents before it), ids, from the files."""
 
@@ -308,8 +313,7 @@ def read_token_files(files: DataFrame) -> DataFrame:
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int64))),
                     ], ["doc_id", "start", "ids"])
 
-    spread = files.select("path", "start").repartition("path")
-    return spread.mapInArrow(run, "doc_id long, start long, ids array<long>")
+    return _apart(files).mapInArrow(run, "doc_id long, start long, ids array<long>")
 
 
 def token_summary(files: DataFrame) -> DataFrame:
@@ -327,8 +331,7 @@ def token_summary(files: DataFrame) -> DataFrame:
                         pa.array(np.diff(edges)), pa.array(crc, pa.int64()),
                     ], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    spread = files.select("path", "start").repartition("path")
-    return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return _apart(files).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_folder(docs: DataFrame) -> str:
