@@ -3,8 +3,8 @@
 A text is the multiset of its runs of ``SHINGLE`` words; similarity is the weighted Jaccard of the
 multiplicities. Signatures come from Poisson processes over the discretised weights: the levels of a
 shingle's weight are grouped in dyadic ranges (0,1], (1,2], (2,4], ... with one process each, of a rate equal
-to the range's width. Each point of a process has a level inside its range, found by halving, and a
-register; it counts for a text whose multiplicity reaches that level, and each register keeps its earliest
+to the range's width. Each point of a process has a level inside its range and a register, both from bits of one
+hash; it counts for a text whose multiplicity reaches that level, and each register keeps its earliest
 point. Two registers agree with probability equal to the weighted Jaccard, without bias, and a
 text costs about ``REGISTERS`` x (ln REGISTERS + 6) points whatever its length, since points after the last
 register's time are never made.
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -238,11 +238,20 @@ def near_duplicates(
 
 
 def keep_one_of_each(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, one of each class, with all their columns."""
+    """The rows of ``docs`` that stay, one of each class, with all their columns, whatever their names.
+
+    Rows travel in a struct and move once, by id and mark, which the rank inside these needs too.
+    """
+
+    def key(doc_id: Column, mark: Column) -> Column:
+        """One value that is never null."""
+        return F.concat_ws("/", F.coalesce(F.concat(F.lit("="), doc_id.cast("string")), F.lit("")), mark.cast("string"))
+
     documents, _, _ = near_duplicates(docs, threshold, id_col, text_col)
-    stay = documents.filter("kept").select(F.col("doc_id").alias("_stay_id"), F.col("mark").alias("_stay_mark"))
-    marked = docs.withColumn("_mark", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    same = F.col(id_col).eqNullSafe(F.col("_stay_id")) & (F.col("_mark") == F.col("_stay_mark"))
+    stay = documents.filter("kept").select(key(F.col("doc_id"), F.col("mark")).alias("stay"))
+    mark = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key(F.col(id_col), mark).alias("stay"))
     # Of rows that repeat id and text one stays.
-    copy = F.row_number().over(W.partitionBy(id_col, "_mark").orderBy(F.lit(0)))
-    return marked.join(stay, same, "left_semi").withColumn("_copy", copy).filter("_copy = 1").select(*docs.columns)
+    copy = F.row_number().over(W.partitionBy("stay").orderBy("stay"))
+    return rows.join(stay, "stay", "left_semi").withColumn("copy", copy).filter("copy = 1").select("row.*")

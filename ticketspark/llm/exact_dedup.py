@@ -83,11 +83,21 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int | None = None) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
+    """The rows of ``docs`` that stay, with all their columns, whatever their names.
+
+    Rows travel in a struct and move once, by id and digest, which the rank inside these needs too.
+    """
+
+    def key(doc_id: Column, digest: Column) -> Column:
+        """One value that is never null."""
+        return F.sha2(F.concat_ws("/", F.coalesce(F.concat(F.lit("="), doc_id.cast("string")), F.lit("")), digest), 256)
+
     groups = exact_groups(docs, id_col, text_col, rounds).filter("kept")
-    stay = groups.select(F.col("doc_id").alias("_stay_id"), F.unhex("text_sha256").alias("_stay_digest"))
-    marked = docs.withColumn("_digest", F.unhex(F.sha2(bare_text(text_col), 256)))
-    same = F.col(id_col).eqNullSafe(F.col("_stay_id")) & (F.col("_digest") == F.col("_stay_digest"))
-    order = F.length(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).desc()
-    copy = F.row_number().over(W.partitionBy(id_col, "_digest").orderBy(order))
-    return marked.join(stay, same, "left_semi").withColumn("_copy", copy).filter("_copy = 1").select(*docs.columns)
+    stay = groups.select(key(F.col("doc_id"), F.col("text_sha256")).alias("stay"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.length(text).alias("length"),
+        key(F.col(id_col), F.sha2(bare_text(text_col), 256)).alias("stay"))
+    # Of rows that repeat id and text one stays.
+    copy = F.row_number().over(W.partitionBy("stay").orderBy(F.desc("length")))
+    return rows.join(stay, "stay", "left_semi").withColumn("copy", copy).filter("copy = 1").select("row.*")

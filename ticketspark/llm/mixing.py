@@ -13,8 +13,8 @@ many blocks as others together; running sums are over blocks, and over the rows
 
 Defined results: a null source is a source of its own; null texts are empty; rows without tokens are taken with the
 tokens around them, and once if their source has no tokens at all; repeated rows are rows of their own; an empty
-table gives no rows; a budget of null is the number of tokens there are. Input columns stay; names that begin with
-``_mix`` are taken.
+table gives no rows; a budget of null is the number of tokens there are. Input columns travel in a struct, so no name of theirs
+can clash; ``mix_sources`` leaves out those that are named as one of its own four.
 """
 
 from __future__ import annotations
@@ -80,17 +80,17 @@ def exponent_for(shares: DataFrame, budget_share: float, target_entropy: float,
     return max(flat, few)
 
 
-def mix_sources(
+def mixed_rows(
     docs: DataFrame, target_entropy: float = 0.95, max_repeats: float = 4.0, budget: int | None = None, seed: int = 1,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_tokens: int = BLOCK_TOKENS,
 ) -> DataFrame:
-    """The rows of the mix: all columns of ``docs`` with epoch, n_tokens, start (tokens of the source before the row,
+    """The rows of the mix: ``row`` (all columns of ``docs``), epoch, n_tokens, start (tokens of the source before the row,
     all epochs) and place (start as a part of the quota; sorting by it interleaves the sources)."""
-    tokens = token_count(text_col)
-    named = docs.withColumns({
-        "_mix_none": F.col(source_col).isNull(), "_mix_source": F.coalesce(F.col(source_col).cast("string"), F.lit("")),
-        "_mix_tokens": tokens, "_mix_hash": F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)),
-    })
+    named = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("_mix_id"),
+        F.col(source_col).isNull().alias("_mix_none"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("_mix_source"),
+        token_count(text_col).alias("_mix_tokens"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("_mix_hash"),
+    )
     sizes = written(named.select(*KEY, "_mix_tokens", "_mix_hash"), "mix-sizes")
     total = sizes.agg(F.sum("_mix_tokens")).first()[0] or 0
     budget = total if budget is None else budget
@@ -114,10 +114,22 @@ def mix_sources(
         cells.join(quotas.filter("quota > 0"), KEY).select(*KEY, "_mix_block", "in_block", "of_source", "quota", epochs)
         .withColumn("block_start", before + F.col("_mix_epoch") * F.col("of_source")).filter("block_start < quota")
     )
-    inside = W.partitionBy(*KEY, "_mix_block", "_mix_epoch").orderBy(F.xxhash64("_mix_epoch", "_mix_hash"), "_mix_hash", id_col)
+    inside = W.partitionBy(*KEY, "_mix_block", "_mix_epoch").orderBy(F.xxhash64("_mix_epoch", "_mix_hash"), "_mix_hash", "_mix_id")
     start = F.col("block_start") + F.coalesce(F.sum("_mix_tokens").over(inside.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return (
         named.withColumn("_mix_block", block).join(plan, [*KEY, "_mix_block"]).withColumn("_mix_start", start).filter("_mix_start < quota")
-        .select(*docs.columns, F.col("_mix_epoch").alias("epoch"), F.col("_mix_tokens").alias("n_tokens"), F.col("_mix_start").alias("start"),
+        .select("row", F.col("_mix_epoch").alias("epoch"), F.col("_mix_tokens").alias("n_tokens"), F.col("_mix_start").alias("start"),
                 (F.col("_mix_start") / F.col("quota")).alias("place"))
     )
+
+
+def mix_sources(docs: DataFrame, **options) -> DataFrame:
+    """The rows of the mix with all columns of ``docs``, epoch, n_tokens, start and place."""
+    rows = mixed_rows(docs, **options)
+    own = ["epoch", "n_tokens", "start", "place"]
+    return rows.select(*[F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in own], *own)
+
+
+def keep_mixed(docs: DataFrame, **options) -> DataFrame:
+    """The rows of the mix with the columns of ``docs``, whatever their names."""
+    return mixed_rows(docs, **options).select("row.*")
