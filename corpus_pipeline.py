@@ -32,7 +32,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing: sources to target weights, on a budget of the tokens there are. Rows of small sources repeat,
     large sources are cut."""
-    return mixing.mix_sources(docs).select(*docs.columns)
+    return mixing.keep_mixed(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
