@@ -1,20 +1,19 @@
 """Phrase collocations from stripes: each prefix keys an associative counter of its next words.
 
-A task turns its texts into word numbers and, at every position of a piece, a window of four words, cut at the piece's
-end. Distinct windows are counted in numpy and leave as stripes: a prefix of up to three words, the words that
-follow it and how often; the empty word stands for the end of a piece. Spark deals stripes by (lang, prefix, slice of the next
-word) and adds those that meet element by element. All counts follow from this one structure:
-
-* an entry of a three-word prefix is the count of a four-word phrase;
-* a stripe's total, ends included, is the count of its prefix, and thereby an entry in the stripe of the prefix one
-  word shorter, and so on down to single words and to all words;
-* the largest entry of a stripe is the most frequent extension of its prefix to the right; entries regrouped by
-  their last words give the one to the left. A phrase that lies in a longer one of a certain count also lies in one only
-  one word longer with at least that count, so these two maxima decide subsumption.
-
-Slices spread a prefix that a third of all positions share; the element-wise sum, totals and maxima combine before each
-exchange. Nothing is pruned before its whole count is known. The first ``top`` phrases of a language are found in rounds of
-salted groups, so that no task ranks all candidates of a language.
+Texts become blocks of word numbers, of one language each. For phrases of one to four words in turn, a block sends
+stripes: a prefix one word shorter, the words that follow it in the block, and how often. Spark deals stripes by (lang, prefix,
+slice of the next word) and adds those that meet element by element. A sum is the count of prefix and next word, which is
+also the total of the prefix that is one word longer. The largest entry of a stripe is the most frequent
+extension of its prefix to the right; entries regrouped by their last words give the one to the left. A
+phrase that lies in a longer one of a certain count also lies in one only one word longer with at least that
+count, so these two maxima decide subsumption.
+
+Blocks learn which of their entries are frequent. A phrase with an infrequent part is infrequent, so a block goes on with the
+stretches of words in which every run of the last size is frequent; what is dropped could not have counted.
+
+Slices spread a prefix that a third of all positions share, the empty prefix of single words above all; a block sends one
+entry per distinct run, however often it has it. Everything is exact: words travel as they are, not as hashes. The
+first ``top`` phrases of a language are found in rounds of salted groups, so that no task ranks all candidates of a language.
 
 Defined results: a null text is empty, a null language ``und``; empty texts give no words; repeated rows count again; ties
 are ordered by phrase, bytewise; an empty table gives an empty result; further columns are ignored. A very long text is
@@ -31,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -49,12 +49,6 @@ SCALE = 2_000_000
 BLOCK_WORDS = 3_000_000
 BLOCK_BYTES = 4 << 20
 
-STRIPES = "lang string, prefix string, slice int, words array<string>, counts array<long>"
-ARROW = pa.schema([
-    ("lang", pa.string()), ("prefix", pa.string()), ("slice", pa.int32()), ("words", pa.list_(pa.string())),
-    ("counts", pa.list_(pa.int64())),
-])
-
 
 class Block:
     """Texts of one language as word numbers; 0 ends a piece."""
@@ -62,60 +56,44 @@ class Block:
     def __init__(self):
         self.numbers = defaultdict()
         self.numbers.default_factory = lambda: len(self.numbers) + 1
-        self.parts = [np.zeros(1, np.int64)]
+        self.parts: list[np.ndarray] = []
         self.n_words = 0
 
-    def add(self, words: list[bytes]) -> None:
-        """Words in order, with a line feed at each end of a piece."""
+    def add(self, words: list[bytes]) -> int:
+        """Words in order, with a line feed at each end of a piece; returns how many are words."""
         numbers = self.numbers
-        part = np.fromiter((0 if w == b"\n" else numbers[w] for w in words if w), np.int64)
-        self.parts += [part, np.zeros(1, np.int64)]
-        self.n_words += len(part)
-
-
-def windows(block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct windows of four word numbers in lexicographic order, 0 from the piece's end on, and their counts."""
-    numbers = np.concatenate([*block.parts, np.zeros(LONGEST, np.int64)])
-    at = np.flatnonzero(numbers[: -LONGEST])
-    base = len(block.numbers) + 1
-    second = numbers[at + 1]
-    third = np.where(second > 0, numbers[at + 2], 0)
-    fourth = np.where(third > 0, numbers[at + 3], 0)
-    pairs, place = np.unique(np.concatenate([numbers[at] * base + second, third * base + fourth]), return_inverse=True)
-    keys, counts = np.unique(place[: len(at)] * len(pairs) + place[len(at):], return_counts=True)
-    heads, tails = pairs[keys // len(pairs)], pairs[keys % len(pairs)]
-    return np.stack([heads // base, heads % base, tails // base, tails % base]), counts
-
-
-def stripes(lang: str, block: Block, slices: int) -> pa.RecordBatch:
-    """One row per prefix and slice of the next word."""
-    grams, counts = windows(block)
-    spelled = list(block.numbers)
-    words = pa.array([b"", *spelled], pa.binary()).cast(pa.string())
-    slice_of = np.array([0, *(zlib.crc32(w) % slices for w in spelled)], np.int32)
-    first, second, third, fourth = grams
-    # The next word comes after the prefix of one, two or three words; 0 is the end of the piece.
-    length = 1 + (second > 0) + (third > 0)
-    following = np.where(length == 3, fourth, 0)
-    prefix = np.flatnonzero(np.concatenate([[True], np.any(grams[:3, 1:] != grams[:3, :-1], axis=0)]))
-    group = np.repeat(np.arange(len(prefix)), np.diff(np.append(prefix, len(counts))))
-    order = np.lexsort((slice_of[following], group))
-    group, following, counts, part = group[order], following[order], counts[order], slice_of[following][order]
-    starts = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (part[1:] != part[:-1])]))
-    offsets = pa.array(np.append(starts, len(counts)), pa.int32())
-    heads = prefix[group[starts]]
-    one, two, three = (pc.take(words, pa.array(x[heads])) for x in (first, second, third))
-    n = pa.array(length[heads])
-    longer = pc.binary_join_element_wise(one, two, " ")
-    named = pc.if_else(pc.equal(n, 1), one, pc.if_else(pc.equal(n, 2), longer, pc.binary_join_element_wise(longer, three, " ")))
-    return pa.RecordBatch.from_arrays([
-        pa.array([lang] * len(starts), pa.string()), named, pa.array(part[starts]),
-        pa.ListArray.from_arrays(offsets, pc.take(words, pa.array(following))),
-        pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int64())),
-    ], schema=ARROW)
-
-
-def stripe_maker(slices: int, block_words: int):
+        part = np.fromiter((0 if w == b"\n" else numbers[w] for w in words if w), np.int32)
+        self.parts += [part, np.zeros(1, np.int32)]
+        found = int(np.count_nonzero(part))
+        self.n_words += found
+        return found
+
+    def row(self, lang: str, number: int) -> dict:
+        return {
+            "lang": lang, "block": number, "n_words": self.n_words, "numbers": squeezed(np.concatenate(self.parts).tobytes()),
+            "words": squeezed(b"\n".join(self.numbers)),
+        }
+
+
+BLOCKS = "lang string, block long, n_words long, numbers binary, words binary"
+BLOCKS_ARROW = pa.schema([
+    ("lang", pa.string()), ("block", pa.int64()), ("n_words", pa.int64()), ("numbers", pa.binary()), ("words", pa.binary())])
+ASKED = "lang string, prefix string, slice int, block long, words array<string>, counts array<long>, places array<int>"
+ASKED_ARROW = pa.schema([
+    ("lang", pa.string()), ("prefix", pa.string()), ("slice", pa.int32()), ("block", pa.int64()), ("words", pa.list_(pa.string())),
+    ("counts", pa.list_(pa.int64())), ("places", pa.list_(pa.int32()))])
+
+
+def squeezed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + (pa.compress(data, "zstd", asbytes=True) if data else b"")
+
+
+def unsqueezed(data: bytes) -> bytes:
+    size = int.from_bytes(data[:8], "little")
+    return pa.decompress(data[8:], size, "zstd", asbytes=True) if size else b""
+
+
+def block_maker(block_words: int):
     marks = bytes(10 if c in ENDS else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
     end = re.compile(b"[" + re.escape(ENDS) + b"]")
 
@@ -128,65 +106,148 @@ def stripe_maker(slices: int, block_words: int):
             at = until
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, made, held = TaskContext.get().partitionId() << 32, 0, 0
         blocks: dict[str, Block] = defaultdict(Block)
-        held = 0
+
+        def out() -> pa.RecordBatch:
+            rows = [b.row(lang, first + made + i) for i, (lang, b) in enumerate(blocks.items())]
+            return pa.RecordBatch.from_pylist(rows, BLOCKS_ARROW)
+
         for batch in batches:
-            for lang, text in zip(batch.column("lang"), batch.column("text"), strict=True):
-                block = blocks[lang.as_py()]
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
                 for piece in pieces(text.as_buffer().to_pybytes()):
-                    before = block.n_words
-                    block.add(piece.translate(marks).replace(b"\n", b" \n ").split(b" "))
-                    held += block.n_words - before
+                    held += blocks[lang].add(piece.translate(marks).replace(b"\n", b" \n ").split(b" "))
                     if held >= block_words:
-                        yield from (stripes(name, b, slices) for name, b in blocks.items() if b.numbers)
+                        yield out()
+                        made, held = made + len(blocks), 0
                         blocks.clear()
-                        block, held = blocks[lang.as_py()], 0
-        yield from (stripes(name, b, slices) for name, b in blocks.items() if b.numbers)
+        if blocks:
+            yield out()
 
     return make
 
 
-def merged_stripes(docs: DataFrame, least: int = LEAST, slices: int | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Stripes of all texts, added element by element: lang, prefix, slice, ``total`` (ends included), and the entries
-    of at least ``least`` in ``frequent`` (next, n)."""
+def grams(numbers: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct runs of ``size`` words in lexicographic order, (size, runs), their counts, and for every occurrence
+    its position and its run."""
+    padded = np.concatenate([numbers, np.zeros(size, numbers.dtype)]).astype(np.int64)
+    whole = padded[: len(numbers)] > 0
+    for k in range(1, size):
+        whole &= padded[k: k + len(numbers)] > 0
+    at = np.flatnonzero(whole)
+    base = int(padded.max(initial=0)) + 1
+    key, shorter = padded[at], []
+    for k in range(1, size):
+        # Runs found so far are numbered anew, in order, so that keys stay small.
+        runs, key = np.unique(key, return_inverse=True)
+        shorter.append(runs)
+        key = key * base + padded[at + k]
+    runs, place, counts = np.unique(key, return_inverse=True, return_counts=True)
+    words = []
+    for known in reversed(shorter):
+        words.append(runs % base)
+        runs = known[runs // base]
+    return np.stack([runs, *reversed(words)]), counts, at, place
+
+
+def asker(size: int, slices: int):
+    """The stripes of a block: per prefix of ``size`` - 1 words and slice of the next word, the next words, how often they
+    follow, and which of the block's runs that is."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                found, counts, _, _ = grams(np.frombuffer(unsqueezed(row["numbers"]), np.int32), size)
+                if not len(counts):
+                    continue
+                spelled = unsqueezed(row["words"]).split(b"\n")
+                words = pa.array([b"", *spelled], pa.binary()).cast(pa.string())
+                slice_of = np.array([0, *(zlib.crc32(w) % slices for w in spelled)], np.int32)
+                prefix, following = found[:-1], found[-1]
+                part = slice_of[following]
+                group = np.cumsum(np.concatenate([[True], np.any(prefix[:, 1:] != prefix[:, :-1], axis=0)]))
+                order = np.lexsort((part, group))
+                group, prefix, following, part, n = group[order], prefix[:, order], following[order], part[order], counts[order]
+                starts = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (part[1:] != part[:-1])]))
+                edges = np.append(starts, len(n))
+                named = pa.array([""] * len(starts), pa.string()) if size == 1 else pc.take(words, pa.array(prefix[0][starts]))
+                for more in prefix[1:]:
+                    named = pc.binary_join_element_wise(named, pc.take(words, pa.array(more[starts])), " ")
+                for lo in range(0, len(starts), 50_000):
+                    hi = min(lo + 50_000, len(starts))
+                    first, last = edges[lo], edges[hi]
+                    offsets = pa.array(edges[lo:hi + 1] - first, pa.int32())
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([row["lang"]] * (hi - lo), pa.string()), named[lo:hi], pa.array(part[starts[lo:hi]]),
+                        pa.array(np.full(hi - lo, row["block"])),
+                        pa.ListArray.from_arrays(offsets, pc.take(words, pa.array(following[first:last]))),
+                        pa.ListArray.from_arrays(offsets, pa.array(n[first:last].astype(np.int64))),
+                        pa.ListArray.from_arrays(offsets, pa.array(order[first:last].astype(np.int32))),
+                    ], schema=ASKED_ARROW)
+
+    return ask
+
+
+def kept_runs(size: int):
+    """What longer phrases can still lie in: stretches of words in which every run of ``size`` words is frequent, longer
+    than one such run."""
+
+    def keep(block: pa.Table, answers: pa.Table) -> pa.Table:
+        if not block.num_rows or not answers.num_rows:
+            return block.slice(0, 0)
+        row = block.to_pylist()[0]
+        numbers = np.frombuffer(unsqueezed(row["numbers"]), np.int32)
+        _, counts, at, place = grams(numbers, size)
+        frequent = np.zeros(len(counts), bool)
+        frequent[answers.column("place").to_numpy()] = True
+        hits = at[frequent[place]]
+        # Stretches of neighbouring positions, of two or more.
+        edge = np.flatnonzero(np.diff(hits) != 1)
+        first, last = np.append(hits[:1], hits[edge + 1]), np.append(hits[edge], hits[-1:])
+        longer = last > first
+        if not longer.any():
+            return block.slice(0, 0)
+        # Each stretch, and a 0 after it.
+        first, length = first[longer], (last - first)[longer] + size
+        inside = np.arange((length + 1).sum()) - np.repeat(np.cumsum(length + 1) - length - 1, length + 1)
+        source = np.minimum(np.repeat(first, length + 1) + inside, len(numbers) - 1)
+        out = np.where(inside < np.repeat(length, length + 1), numbers[source], 0)
+        # Only words that are left keep a number.
+        used, again = np.unique(out, return_inverse=True)
+        spelled = unsqueezed(row["words"]).split(b"\n")
+        row["numbers"] = squeezed(again.astype(np.int32).tobytes())
+        row["words"] = squeezed(b"\n".join(spelled[i - 1] for i in used[1:]))
+        return pa.Table.from_pylist([row], BLOCKS_ARROW)
+
+    return keep
+
+
+def phrase_counts(docs: DataFrame, least: int = LEAST, slices: int | None = None, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
+    """(lang, phrase, size, f) of all phrases of one to four words with f >= ``least``, and the words of each language."""
     n = partitions(docs.sparkSession)
     texts = docs.select(
         F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
-    cut = texts.mapInArrow(stripe_maker(slices or n, block_words), STRIPES).repartition(n, "lang", "prefix", "slice")
-    entries = cut.select("lang", "prefix", "slice", F.explode(F.arrays_zip("words", "counts")).alias("e"))
-    # Both aggregates stay within the tasks that the stripes were dealt to.
-    entries = entries.groupBy("lang", "prefix", "slice", F.col("e.words").alias("next")).agg(F.sum("e.counts").alias("n"))
-    kept = F.when((F.col("n") >= least) & (F.col("next") != ""), F.struct("next", "n"))
-    return entries.groupBy("lang", "prefix", "slice").agg(F.sum("n").alias("total"), F.collect_list(kept).alias("frequent"))
-
-
-def spaces(phrase: Column | str) -> Column:
-    return F.regexp_count(phrase, F.lit(" "))
-
-
-def first_words(phrase: Column | str, n: int) -> Column:
-    return F.substring_index(phrase, " ", n)
-
-
-def phrase_counts(merged: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """(lang, phrase, size, f) of all phrases of one to four words with f >= ``least``, and the words of each language."""
-    merged = written(merged.withColumn("size", (spaces("prefix") + 1).cast("int")), "stripes")
-    frequent = [merged.select("lang", F.inline("frequent"), "prefix").select(
-        "lang", F.concat_ws(" ", "prefix", "next").alias("phrase"), F.lit(LONGEST).alias("size"), F.col("n").alias("f"))]
-    # Totals of the three-word prefixes are the entries of the two-word ones, and so on.
-    entries = merged.filter("size = 3").select("lang", "prefix", "total")
-    for size in range(LONGEST - 1, 0, -1):
-        totals = written(entries.groupBy("lang", "prefix").agg(F.sum("total").alias("total")), f"stripes-{size}")
-        frequent.append(totals.filter(F.col("total") >= least).select(
-            "lang", F.col("prefix").alias("phrase"), F.lit(size).alias("size"), F.col("total").alias("f")))
-        if size > 1:
-            ended = merged.filter(F.col("size") == size - 1).select("lang", "prefix", "total")
-            entries = totals.withColumn("prefix", first_words("prefix", size - 1)).unionByName(ended)
-    out = frequent[0]
-    for more in frequent[1:]:
-        out = out.unionByName(more)
-    return written(out, "phrases"), totals.groupBy("lang").agg(F.sum("total").alias("n"))
+    blocks = written(texts.mapInArrow(block_maker(block_words), BLOCKS), "phrase-blocks")
+    totals = blocks.groupBy("lang").agg(F.sum("n_words").alias("n")).filter("n > 0")
+    out = None
+    for size in range(1, LONGEST + 1):
+        asked = blocks.mapInArrow(asker(size, slices or n), ASKED).repartition(n, "lang", "prefix", "slice")
+        entries = asked.select(
+            "lang", "prefix", "slice", "block", F.explode(F.arrays_zip("words", "counts", "places")).alias("e"))
+        entries = entries.select(
+            "lang", "prefix", "slice", "block", F.col("e.words").alias("next"), F.col("e.counts").alias("n"), F.col("e.places").alias("place"))
+        # Stripes that meet are added element by element, in the tasks that they were dealt to.
+        whole = F.sum("n").over(W.partitionBy("lang", "prefix", "slice", "next"))
+        hits = written(entries.withColumn("f", whole).filter(F.col("f") >= least).drop("slice", "n"), f"stripes-{size}")
+        phrase = F.col("next") if size == 1 else F.concat_ws(" ", "prefix", "next")
+        found = hits.groupBy("lang", "prefix", "next").agg(F.first("f").alias("f")).select(
+            "lang", phrase.alias("phrase"), F.lit(size).alias("size"), "f")
+        out = found if out is None else out.unionByName(found)
+        if size < LONGEST:
+            answers = hits.select("block", "place").groupBy("block")
+            blocks = written(blocks.groupBy("block").cogroup(answers).applyInArrow(kept_runs(size), BLOCKS), f"phrase-blocks-{size}")
+    return written(out, "phrases"), totals
 
 
 def longer_maxima(phrases: DataFrame) -> DataFrame:
@@ -225,7 +286,7 @@ def first_of_each(rows: DataFrame, group: str, key: str, order: list[Column], to
 
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, slices: int | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the best phrases of two to four words of each language."""
-    phrases, words = phrase_counts(merged_stripes(docs, least, slices, block_words), least)
+    phrases, words = phrase_counts(docs, least, slices, block_words)
     longer = longer_maxima(phrases)
     free = F.col("longer").isNull() | (F.col("longer").cast("decimal(38,0)") * 100 < F.col("a").cast("decimal(38,0)") * SUBSUMED)
     candidates = scored(phrases).join(longer, ["lang", "phrase"], "left").filter(free).drop("longer")
