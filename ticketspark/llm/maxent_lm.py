@@ -265,7 +265,8 @@ def train(
         # One row per task, and there are at most SHARDS tasks with rows.
         for row in counted.mapInArrow(run, "rows binary, values binary").collect():
             total_gradient[np.frombuffer(row["rows"], "<i4")] += np.frombuffer(row["values"], "<f4").reshape(-1, CLASSES)
-        now.unpersist()
+        # The driver's copy goes too.
+        now.destroy()
         total_gradient -= prior / total * weights
         one += 0.2 * (total_gradient - one)
         two += 0.05 * (total_gradient ** 2 - two)
