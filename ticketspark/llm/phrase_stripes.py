@@ -1,19 +1,21 @@
 """Phrase collocations from stripes: each prefix keys an associative counter of its next words.
 
-Texts become blocks of word numbers, of one language each. For phrases of one to four words in turn, a block sends
-stripes: a prefix one word shorter, the words that follow it in the block, and how often. Spark deals stripes by (lang, prefix,
-slice of the next word) and adds those that meet element by element. A sum is the count of prefix and next word, which is
-also the total of the prefix that is one word longer. The largest entry of a stripe is the most frequent
-extension of its prefix to the right; entries regrouped by their last words give the one to the left. A
-phrase that lies in a longer one of a certain count also lies in one only one word longer with at least that
-count, so these two maxima decide subsumption.
-
-Blocks learn which of their entries are frequent. A phrase with an infrequent part is infrequent, so a block goes on with the
-stretches of words in which every run of the last size is frequent; what is dropped could not have counted.
-
-Slices spread a prefix that a third of all positions share, the empty prefix of single words above all; a block sends one
-entry per distinct run, however often it has it. Everything is exact: words travel as they are, not as hashes. The
-first ``top`` phrases of a language are found in rounds of salted groups, so that no task ranks all candidates of a language.
+Texts become blocks of word numbers, of one language each. For phrases of one to four words in turn, a block sends its
+stripes: sorted by prefix, the words that follow each prefix in the block, and how often. Stripes that meet in a range are added
+element by element. A sum is the count of prefix and next word, which is also the total of the prefix that is one
+word longer. The largest entry of a stripe is the most frequent extension of its prefix to the right; entries
+regrouped by their last words give the one to the left. A phrase that lies in a longer one of a certain count also lies in
+one only one word longer with at least that count, so these two maxima decide subsumption.
+
+Blocks learn which of their entries are frequent, one bit each, and the first block that has one names it. A phrase with an
+infrequent part is infrequent, so a block goes on with the stretches of words in which every run of the last size is
+frequent; what is dropped could not have counted. Inside messages prefix and next word are 64-bit hashes each, so runs are told
+apart by 128 bits.
+
+A stripe's entries go to ranges by prefix and slice of the next word, which spreads a prefix that a third of all positions
+share, the empty prefix of single words above all; a block sends one entry per distinct run, however often it has it.
+A range holds about ``range_words`` entries at most, whatever the input; messages are at most one per entry.
+The first ``top`` phrases of a language are found in rounds of salted groups, so no task ranks all its candidates.
 
 Defined results: a null text is empty, a null language ``und``; empty texts give no words; repeated rows count again; ties
 are ordered by phrase, bytewise; an empty table gives an empty result; further columns are ignored. A very long text is
@@ -23,18 +25,18 @@ taken apart at ends of pieces.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ticketspark.llm.word_hash import mix
 from ticketspark.session import partitions, written
 
 #: Ends of pieces.
@@ -48,6 +50,9 @@ SCALE = 2_000_000
 #: Words that a task counts at a time, and bytes of a text that it takes apart at a time.
 BLOCK_WORDS = 3_000_000
 BLOCK_BYTES = 4 << 20
+#: Words of the input per range.
+RANGE_WORDS = 1_000_000
+GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Block:
@@ -78,11 +83,6 @@ class Block:
 BLOCKS = "lang string, block long, n_words long, numbers binary, words binary"
 BLOCKS_ARROW = pa.schema([
     ("lang", pa.string()), ("block", pa.int64()), ("n_words", pa.int64()), ("numbers", pa.binary()), ("words", pa.binary())])
-ASKED = "lang string, prefix string, slice int, block long, words array<string>, counts array<long>, places array<int>"
-ASKED_ARROW = pa.schema([
-    ("lang", pa.string()), ("prefix", pa.string()), ("slice", pa.int32()), ("block", pa.int64()), ("words", pa.list_(pa.string())),
-    ("counts", pa.list_(pa.int64())), ("places", pa.list_(pa.int32()))])
-
 
 def squeezed(data: bytes) -> bytes:
     return len(data).to_bytes(8, "little") + (pa.compress(data, "zstd", asbytes=True) if data else b"")
@@ -150,104 +150,160 @@ def grams(numbers: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return np.stack([runs, *reversed(words)]), counts, at, place
 
 
-def asker(size: int, slices: int):
-    """The stripes of a block: per prefix of ``size`` - 1 words and slice of the next word, the next words, how often they
-    follow, and which of the block's runs that is."""
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                found, counts, _, _ = grams(np.frombuffer(unsqueezed(row["numbers"]), np.int32), size)
-                if not len(counts):
-                    continue
-                spelled = unsqueezed(row["words"]).split(b"\n")
-                words = pa.array([b"", *spelled], pa.binary()).cast(pa.string())
-                slice_of = np.array([0, *(zlib.crc32(w) % slices for w in spelled)], np.int32)
-                prefix, following = found[:-1], found[-1]
-                part = slice_of[following]
-                group = np.cumsum(np.concatenate([[True], np.any(prefix[:, 1:] != prefix[:, :-1], axis=0)]))
-                order = np.lexsort((part, group))
-                group, prefix, following, part, n = group[order], prefix[:, order], following[order], part[order], counts[order]
-                starts = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (part[1:] != part[:-1])]))
-                edges = np.append(starts, len(n))
-                named = pa.array([""] * len(starts), pa.string()) if size == 1 else pc.take(words, pa.array(prefix[0][starts]))
-                for more in prefix[1:]:
-                    named = pc.binary_join_element_wise(named, pc.take(words, pa.array(more[starts])), " ")
-                for lo in range(0, len(starts), 50_000):
-                    hi = min(lo + 50_000, len(starts))
-                    first, last = edges[lo], edges[hi]
-                    offsets = pa.array(edges[lo:hi + 1] - first, pa.int32())
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([row["lang"]] * (hi - lo), pa.string()), named[lo:hi], pa.array(part[starts[lo:hi]]),
-                        pa.array(np.full(hi - lo, row["block"])),
-                        pa.ListArray.from_arrays(offsets, pc.take(words, pa.array(following[first:last]))),
-                        pa.ListArray.from_arrays(offsets, pa.array(n[first:last].astype(np.int64))),
-                        pa.ListArray.from_arrays(offsets, pa.array(order[first:last].astype(np.int32))),
-                    ], schema=ASKED_ARROW)
 
-    return ask
+def keys_of(lang: str, found: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the prefix and of the next word of each run; together they tell runs apart."""
+    prefix = np.full(found.shape[1], xxhash.xxh3_64_intdigest(lang.encode()), np.uint64)
+    for numbers in found[:-1]:
+        prefix = mix(prefix * GOLD + words[numbers])
+    return prefix, words[found[-1]]
+
 
+def dealt(prefix: np.ndarray, following: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the runs by range, and the range of each: that of its prefix, moved on by the slice of its next word."""
+    of = ((mix(prefix, 13) + mix(following, 17)) % np.uint64(ranges)).astype(np.int64)
+    order = np.argsort(of, kind="stable")
+    return order, of[order]
 
-def kept_runs(size: int):
-    """What longer phrases can still lie in: stretches of words in which every run of ``size`` words is frequent, longer
-    than one such run."""
 
-    def keep(block: pa.Table, answers: pa.Table) -> pa.Table:
+def stripes_of(row: dict, size: int, ranges: int):
+    """(runs, counts, positions, run of each position, word hashes, order by range, range) of a block."""
+    found, counts, at, place = grams(np.frombuffer(unsqueezed(row["numbers"]), np.int32), size)
+    spelled = unsqueezed(row["words"]).split(b"\n")
+    prefix, following = keys_of(row["lang"], found, np.concatenate([np.zeros(1, np.uint64), hashes_of(spelled)]))
+    order, of = dealt(prefix, following, ranges)
+    return found, counts, at, place, spelled, prefix[order], following[order], order, of
+
+
+MESSAGES = "range long, block long, prefixes binary, words binary, counts binary"
+MESSAGES_ARROW = pa.schema([
+    ("range", pa.int64()), ("block", pa.int64()), ("prefixes", pa.binary()), ("words", pa.binary()), ("counts", pa.binary())])
+ANSWERS = "range long, block long, frequent binary, named binary, f binary"
+ANSWERS_ARROW = pa.schema([
+    ("range", pa.int64()), ("block", pa.int64()), ("frequent", pa.binary()), ("named", pa.binary()), ("f", pa.binary())])
+
+
+def sender(size: int, ranges: int):
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A block's stripes, one row per range."""
+        for batch in batches:
+            for row in batch.to_pylist():
+                _, counts, _, _, _, prefix, following, order, of = stripes_of(row, size, ranges)
+                counts = counts[order].astype(np.uint32)
+                starts = np.flatnonzero(np.diff(of, prepend=-1))
+                cuts = list(zip(starts.tolist(), [*starts[1:].tolist(), len(of)], strict=True)) if len(of) else []
+                for lo in range(0, len(cuts), 1000):
+                    part = cuts[lo:lo + 1000]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([int(of[a]) for a, _ in part], pa.int64()), pa.array([row["block"]] * len(part), pa.int64()),
+                        *[pa.array([x[a:b].tobytes() for a, b in part], pa.binary()) for x in (prefix, following, counts)],
+                    ], schema=MESSAGES_ARROW)
+
+    return send
+
+
+def merger(least: int):
+    def merge(group: pa.Table) -> pa.Table:
+        """Stripes added element by element: which entries of each block are frequent, and how frequent those are that this
+        block is the first to have."""
+        group = group.sort_by("block")
+        parts = [[np.frombuffer(b, kind) for b in group.column(name).to_pylist()] for name, kind in (
+            ("prefixes", np.uint64), ("words", np.uint64), ("counts", np.uint32))]
+        lengths = [len(p) for p in parts[0]]
+        prefix, following, counts = (np.concatenate(p) for p in parts)
+        order = np.lexsort((following, prefix))
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(prefix[order]) != 0) | (np.diff(following[order]) != 0)
+        starts = np.flatnonzero(new)
+        sums = np.add.reduceat(counts[order].astype(np.int64), starts)
+        whole = np.empty(len(order), np.int64)
+        whole[order] = np.repeat(sums, np.diff(np.append(starts, len(order))))
+        first = np.zeros(len(order), bool)
+        first[order[starts]] = True
+        frequent = whole >= least
+        rows, at = [], 0
+        for block, length in zip(group.column("block").to_pylist(), lengths, strict=True):
+            hits = frequent[at:at + length]
+            if hits.any():
+                named = np.flatnonzero(hits & first[at:at + length])
+                rows.append((block, np.packbits(hits).tobytes(), named.astype(np.int32).tobytes(), whole[at:at + length][named].tobytes()))
+            at += length
+        number = group.column("range")[0].as_py()
+        blocks, flags, named, f = zip(*rows, strict=True) if rows else ((), (), (), ())
+        return pa.table([
+            pa.array([number] * len(rows), pa.int64()), pa.array(blocks, pa.int64()), pa.array(flags, pa.binary()),
+            pa.array(named, pa.binary()), pa.array(f, pa.binary()),
+        ], schema=ANSWERS_ARROW)
+
+    return merge
+
+
+STATE = f"{BLOCKS}, phrases array<string>, f array<long>"
+STATE_ARROW = pa.schema([*BLOCKS_ARROW, ("phrases", pa.list_(pa.string())), ("f", pa.list_(pa.int64()))])
+
+
+def learner(size: int, ranges: int):
+    def learn(block: pa.Table, answers: pa.Table) -> pa.Table:
+        """A block's frequent phrases that no earlier block names, and what longer phrases can still lie in: stretches
+        of words in which every run of ``size`` words is frequent, longer than one such run."""
         if not block.num_rows or not answers.num_rows:
-            return block.slice(0, 0)
+            return pa.Table.from_pylist([], STATE_ARROW)
         row = block.to_pylist()[0]
         numbers = np.frombuffer(unsqueezed(row["numbers"]), np.int32)
-        _, counts, at, place = grams(numbers, size)
-        frequent = np.zeros(len(counts), bool)
-        frequent[answers.column("place").to_numpy()] = True
+        found, counts, at, place, spelled, _, _, order, of = stripes_of(row, size, ranges)
+        frequent, f = np.zeros(len(counts), bool), np.zeros(len(counts), np.int64)
+        for answer in answers.to_pylist():
+            lo, hi = np.searchsorted(of, [answer["range"], answer["range"] + 1])
+            frequent[order[lo:hi]] = np.unpackbits(np.frombuffer(answer["frequent"], np.uint8), count=hi - lo).astype(bool)
+            f[order[lo + np.frombuffer(answer["named"], np.int32)]] = np.frombuffer(answer["f"], np.int64)
+        named = np.flatnonzero(f)
+        words = [None, *(w.decode() for w in spelled)]
+        row["phrases"] = [" ".join(words[i] for i in run) for run in found[:, named].T.tolist()]
+        row["f"] = f[named].tolist()
         hits = at[frequent[place]]
         # Stretches of neighbouring positions, of two or more.
         edge = np.flatnonzero(np.diff(hits) != 1)
         first, last = np.append(hits[:1], hits[edge + 1]), np.append(hits[edge], hits[-1:])
         longer = last > first
-        if not longer.any():
-            return block.slice(0, 0)
         # Each stretch, and a 0 after it.
         first, length = first[longer], (last - first)[longer] + size
         inside = np.arange((length + 1).sum()) - np.repeat(np.cumsum(length + 1) - length - 1, length + 1)
         source = np.minimum(np.repeat(first, length + 1) + inside, len(numbers) - 1)
         out = np.where(inside < np.repeat(length, length + 1), numbers[source], 0)
-        # Only words that are left keep a number.
-        used, again = np.unique(out, return_inverse=True)
-        spelled = unsqueezed(row["words"]).split(b"\n")
-        row["numbers"] = squeezed(again.astype(np.int32).tobytes())
+        # Only words that are left keep a number; 0 stays 0.
+        used, again = np.unique(np.append(out, 0), return_inverse=True)
+        row["numbers"] = squeezed(again[:-1].astype(np.int32).tobytes())
         row["words"] = squeezed(b"\n".join(spelled[i - 1] for i in used[1:]))
-        return pa.Table.from_pylist([row], BLOCKS_ARROW)
+        return pa.Table.from_pylist([row], STATE_ARROW)
 
-    return keep
+    return learn
 
 
-def phrase_counts(docs: DataFrame, least: int = LEAST, slices: int | None = None, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
+def phrase_counts(
+    docs: DataFrame, least: int = LEAST, block_words: int = BLOCK_WORDS, range_words: int = RANGE_WORDS,
+) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, size, f) of all phrases of one to four words with f >= ``least``, and the words of each language."""
-    n = partitions(docs.sparkSession)
     texts = docs.select(
         F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
-    blocks = written(texts.mapInArrow(block_maker(block_words), BLOCKS), "phrase-blocks")
-    totals = blocks.groupBy("lang").agg(F.sum("n_words").alias("n")).filter("n > 0")
+    state = written(texts.mapInArrow(block_maker(block_words), BLOCKS), "phrase-blocks")
+    totals = state.groupBy("lang").agg(F.sum("n_words").alias("n")).filter("n > 0")
+    n_words = state.agg(F.sum("n_words")).first()[0] or 0
+    ranges = max(partitions(docs.sparkSession), -(-n_words // range_words))
     out = None
     for size in range(1, LONGEST + 1):
-        asked = blocks.mapInArrow(asker(size, slices or n), ASKED).repartition(n, "lang", "prefix", "slice")
-        entries = asked.select(
-            "lang", "prefix", "slice", "block", F.explode(F.arrays_zip("words", "counts", "places")).alias("e"))
-        entries = entries.select(
-            "lang", "prefix", "slice", "block", F.col("e.words").alias("next"), F.col("e.counts").alias("n"), F.col("e.places").alias("place"))
-        # Stripes that meet are added element by element, in the tasks that they were dealt to.
-        whole = F.sum("n").over(W.partitionBy("lang", "prefix", "slice", "next"))
-        hits = written(entries.withColumn("f", whole).filter(F.col("f") >= least).drop("slice", "n"), f"stripes-{size}")
-        phrase = F.col("next") if size == 1 else F.concat_ws(" ", "prefix", "next")
-        found = hits.groupBy("lang", "prefix", "next").agg(F.first("f").alias("f")).select(
-            "lang", phrase.alias("phrase"), F.lit(size).alias("size"), "f")
+        blocks = state.select(*BLOCKS_ARROW.names)
+        sent = blocks.mapInArrow(sender(size, ranges), MESSAGES)
+        answers = sent.groupBy("range").applyInArrow(merger(least), ANSWERS)
+        state = written(
+            blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(learner(size, ranges), STATE), f"phrase-blocks-{size}")
+        found = state.select("lang", F.explode(F.arrays_zip("phrases", "f")).alias("e")).select(
+            "lang", F.col("e.phrases").alias("phrase"), F.lit(size).alias("size"), F.col("e.f").alias("f"))
         out = found if out is None else out.unionByName(found)
-        if size < LONGEST:
-            answers = hits.select("block", "place").groupBy("block")
-            blocks = written(blocks.groupBy("block").cogroup(answers).applyInArrow(kept_runs(size), BLOCKS), f"phrase-blocks-{size}")
-    return written(out, "phrases"), totals
+    return out, totals
 
 
 def longer_maxima(phrases: DataFrame) -> DataFrame:
@@ -284,9 +340,11 @@ def first_of_each(rows: DataFrame, group: str, key: str, order: list[Column], to
     return ranked.filter(F.col("rank") <= top)
 
 
-def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, slices: int | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
+def collocations(
+    docs: DataFrame, least: int = LEAST, top: int = TOP, block_words: int = BLOCK_WORDS, range_words: int = RANGE_WORDS,
+) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the best phrases of two to four words of each language."""
-    phrases, words = phrase_counts(docs, least, slices, block_words)
+    phrases, words = phrase_counts(docs, least, block_words, range_words)
     longer = longer_maxima(phrases)
     free = F.col("longer").isNull() | (F.col("longer").cast("decimal(38,0)") * 100 < F.col("a").cast("decimal(38,0)") * SUBSUMED)
     candidates = scored(phrases).join(longer, ["lang", "phrase"], "left").filter(free).drop("longer")
