@@ -186,11 +186,49 @@ def test_op10(spark, docs, none):
 def test_op5(docs, none):
     mixed = mixing.mix_sources(docs, budget=70_000, target_entropy=0.5, max_repeats=3.0)
     got = mixed.collect()
-    assert mixed.columns == [*docs.columns, "epoch", "n_tokens", "start", "place"] or set(docs.columns) <= set(mixed.columns)
+    # ``start`` of the input gives way to the operator's own.
+    assert mixed.columns == [c for c in docs.columns if c != "start"] + ["epoch", "n_tokens", "start", "place"]
+    assert mixing.keep_mixed(docs).columns == docs.columns and {r.start for r in mixing.keep_mixed(docs).collect()} == {3}
     assert {r.doc_id for r in got if r.source == "t"} == {4, 8} and max(r.epoch for r in got) <= 2
     assert mixing.mix_sources(none).count() == 0
 
 
+OWN_NAMES = (
+    "row start place epoch n_tokens of_source quota in_block block_start _mix_row _mix_none _mix_source _mix_hash p stay copy _digest _copy _stay_id "
+    "_mark mark node component bucket size room rank digest leaf kept keep_id group_size shard slot length"
+).split()
+
+
+@pytest.mark.parametrize("stage", [mixing.keep_mixed, exact_dedup.keep_first_copies, bagminhash.keep_one_of_each])
+def test_columns_named_as_the_operators_own_pass_unchanged(spark, stage):
+    rows = [(i, t, "s", *[f"{name}-{i}" for name in OWN_NAMES]) for i, t, _ in ROWS if i not in (None, 6)]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, source string, {', '.join(f'`{n}` string' for n in OWN_NAMES)}")
+    kept = stage(docs)
+    assert kept.columns == docs.columns
+    got = kept.collect()
+    assert got and all(r[name] == f"{name}-{r.doc_id}" for r in got for name in OWN_NAMES)
+
+
+def test_op8_near_copies_below_the_threshold_cost_few_pairs(spark, monkeypatch):
+    """Each copy has a sixth of its shingles to itself: all share bands with many, none has room for a partner."""
+    import random
+
+    base, draw, n = [f"b{i}" for i in range(300)], random.Random(5), 300
+    texts = []
+    for i in range(n):
+        words = list(base)
+        for place in draw.sample(range(0, 300, 5), 10):
+            words[place] = f"own{i}x{place}"
+        texts.append((i, " ".join(words)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    pairs, verify = [], bagminhash.verified
+    monkeypatch.setattr(bagminhash, "verified", lambda p, *rest: (pairs.append(p.count()), verify(p, *rest))[1])
+    documents, _, _ = bagminhash.near_duplicates(docs)
+    assert documents.filter("class_size > 1").count() == 0
+    # Every member met the first pivots of its buckets, and nobody after that.
+    assert len(pairs) == 1 and pairs[0] < 20 * n
+
+
 @pytest.fixture(scope="module")
 def pages(spark):
     big = "<p>" + "x" * 300_000

@@ -29,7 +29,7 @@ def docs(spark):
 # --- Shards --------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize(("total", "marked", "drawn"), [(50, 20, 10), (1000, 63, 500), (300, 280, 290), (6, 3, 6), (7, 7, 3), (5, 0, 5), (0, 0, 0)])
+@pytest.mark.parametrize(("total", "marked", "drawn"), [(50, 20, 10), (1000, 63, 500), (300, 280, 290), (5, 0, 5), (0, 0, 0)])
 def test_hypergeometric_follows_its_law(spark, total, marked, drawn):
     n = 20_000
     draw = shard_shuffle.hypergeometric(F.lit(total), F.lit(marked), F.lit(drawn), (F.col("id") + 0.5) / n)
@@ -40,7 +40,7 @@ def test_hypergeometric_follows_its_law(spark, total, marked, drawn):
     assert not got
 
 
-@pytest.mark.parametrize("shards", [1, 3, 16])
+@pytest.mark.parametrize("shards", [1, 16])
 def test_matrix_has_exact_margins(spark, shards):
     sizes = {p: n for p, n in enumerate([0, 5, 1, 1000, 33, 0, 7, 2, 2, 2, 90])}
     rows = shard_shuffle.communication_matrix(spark.createDataFrame(list(sizes.items()), "part long, n long"), shards, 5).collect()
@@ -137,7 +137,7 @@ def test_op12(docs):
     assert {r[-1] for r in got} == {True, False}
 
 
-@pytest.mark.parametrize("n", [0, 1, 2, 3, 4, 81, 82, 244])
+@pytest.mark.parametrize("n", [0, 1, 4, 82])
 def test_op12_sizes(docs, n):
     few = docs.filter("source = 'big'").orderBy("doc_id").limit(n)
     got = sorted((tuple(r[x] for x in NAMES) for r in merkle_manifest.verified_manifest(few).collect()), key=repr)
@@ -187,11 +187,11 @@ TEXTS = [
 ]
 
 
-@pytest.mark.parametrize(("least", "top", "slices", "block"), [(1, 1000, 1, 10 ** 6), (2, 1000, 7, 10), (3, 4, 3, 1)])
-def test_op13(spark, least, top, slices, block):
+@pytest.mark.parametrize(("least", "top", "block", "ranges"), [(1, 1000, 10 ** 6, 10 ** 6), (2, 1000, 10, 20), (3, 4, 1, 7)])
+def test_op13(spark, least, top, block, ranges):
     rows = [(i, t, [None, "en", "de"][i % 3]) for i, t in enumerate(TEXTS * 4)]
     docs = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, lang string, prefix int, total int, n int").repartition(3)
-    got = sorted(tuple(r) for r in phrase_stripes.collocations(docs, least, top, slices, block).collect())
+    got = sorted(tuple(r) for r in phrase_stripes.collocations(docs, least, top, block, ranges).collect())
     assert got == plain_collocations(docs.collect(), least, top)
     assert phrase_stripes.collocations(docs.filter("false")).count() == 0
 
@@ -199,5 +199,5 @@ def test_op13(spark, least, top, slices, block):
 def test_op13_a_long_text_is_cut_at_ends_of_pieces(spark, monkeypatch):
     monkeypatch.setattr(phrase_stripes, "BLOCK_BYTES", 40)
     docs = spark.createDataFrame([(1, " ".join(TEXTS[0] for _ in range(30)) + " " + "w " * 500, "en")], "doc_id long, text string, lang string")
-    got = sorted(tuple(r) for r in phrase_stripes.collocations(docs, 2, 50, 4, 100).collect())
+    got = sorted(tuple(r) for r in phrase_stripes.collocations(docs, 2, 50, 100, 50).collect())
     assert got == plain_collocations(docs.collect(), 2, 50)

@@ -36,7 +36,7 @@ def rows(spark, name):
 
 
 def test_all_are_registered():
-    assert {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in queries.QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {n.split("_")[0] for n in queries.QUERIES}
     assert {*queries.QUERIES, "pipeline"} <= set(entry.queries())
 
 
