@@ -128,5 +128,37 @@ def test_P15(spark):
     }
 
 
+def test_P15_each_table_is_scanned_once(spark, tmp_path):
+    kinds = {
+        "tickets": "ticket_id string, text string, source string, user_id string, created_at timestamp",
+        "predictions": "prediction_id string, ticket_id string, predicted_priority string, confidence double, model_version string, created_at timestamp",
+        "feedback": "prediction_id string, verdict string", "rate_limit_counters": "user_id string, window_start timestamp, count long",
+    }
+    tables = {}
+    for name, kind in kinds.items():
+        spark.createDataFrame([], kind).write.parquet(str(tmp_path / name))
+        tables[name] = spark.read.schema(kind).parquet(str(tmp_path / name))
+    report = contracts.contract_report(tables)
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 4 and plan.count("Exchange hashpartitioning") == 1
+    assert {r.violations for r in report.collect()} == {0} and report.count() == 22
+
+
+def test_P15_keys_of_several_columns_and_a_hot_reference(spark):
+    tables = {
+        "rate_limit_counters": spark.createDataFrame([("a", 1, 1), ("a", 1, 2), ("a", None, 3), ("a", None, 4), (None, 1, 5), ("a", 2, 6)], "user_id string, window_start int, count long"),
+        "predictions": spark.range(900).select(
+            F.col("id").alias("prediction_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise("gone").alias("ticket_id"), F.lit("low").alias("predicted_priority"),
+            F.lit(0.5).alias("confidence"), F.lit("1").alias("model_version"), F.lit(1).alias("created_at")),
+        "tickets": spark.createDataFrame([("hot", "x", "csv", "a", 1)], "ticket_id string, text string, source string, user_id string, created_at int"),
+        "feedback": spark.createDataFrame([("7", None)], "prediction_id string, verdict string"),
+    }
+    broken = {(t, r): n for t, r, n in pairs(contracts.contract_report(tables), "table_name", "rule", "violations") if n}
+    assert broken == {
+        ("rate_limit_counters", "unique(user_id,window_start)"): 2, ("rate_limit_counters", "not_null(user_id)"): 1,
+        ("rate_limit_counters", "not_null(window_start)"): 2, ("predictions", "reference(ticket_id->tickets)"): 600, ("feedback", "not_null(verdict)"): 1,
+    }
+
+
 def test_labels_cover_both_orders():
     assert sorted(S.LABELS) == sorted(S.QUEUE_ORDER) and labels._labels is not None

@@ -63,6 +63,41 @@ def test_S1_splittable_mode(spark, tmp_path):
     assert [t for _, t in pairs(uploads.cap_uploads(texts, 3), "position", "text")] == [f"ticket number {i}" for i in range(3)]
 
 
+def _by_one_task(spark, path):
+    """What a reader of whole files gives: the text column of each file, in order."""
+    out = []
+    for file in sorted(path.glob("*.csv")):
+        rows = [list(r) for r in spark.read.options(multiLine=True, quote='"', escape='"').csv(str(file)).collect()]
+        names = [(h or "").strip().lower() for h in rows[0]]
+        place = next((i for i, n in enumerate(names) if n in S.UPLOAD_COLUMNS), 0)
+        out += [t for r in rows[1:] if len(t := (r[place] or "").strip()) >= S.MIN_UPLOAD_CHARS]
+    return out
+
+
+@pytest.mark.parametrize("block", [7, 64, 1000])
+def test_S1_one_file_is_read_by_many_tasks(spark, tmp_path, block):
+    """Blocks of a few bytes cut records, quoted line breaks and pairs of quotes anywhere."""
+    fields = [
+        "plain text", '"quoted, with comma"', '"two\nlines here"', '"say ""hi"" twice"', '"ends in quote"""', '"\n\n\nthree breaks"', '5" screen broken',
+        '"crlf\r\ninside"', '""', '"a,""b\n"",c"', 'tail" quote', '"many\n""quotes""\n""\nin ""\nit"', "",
+    ]
+    rows = "".join(f"{i},{fields[(i * 7) % len(fields)]},{fields[i % len(fields)]}\n" for i in range(60))
+    (tmp_path / "a.csv").write_text("id,note,text\n" + rows, newline="")
+    (tmp_path / "b.csv").write_text('"text\n",message\n' + rows.replace("\n", "\r\n") if block == 64 else "text\n" + "fine text\n" * 3, newline="")
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(block))
+    try:
+        texts = uploads.read_uploads(spark, str(tmp_path))
+        got = [r.text for r in texts.orderBy("file", "line").collect()]
+        n_tasks = spark.read.text(str(tmp_path / "a.csv")).rdd.getNumPartitions()
+    finally:
+        spark.conf.set(name, before)
+    assert n_tasks >= 2
+    want = [t.replace("\r\n", "\n") for t in _by_one_task(spark, tmp_path)]
+    assert [t.replace("\r\n", "\n") for t in got] == want
+
+
 def test_S7(upload):
     texts = upload(a="text\nfirst ticket\nfirst ticket\n")
     rows = uploads.pending_tickets(uploads.cap_uploads(texts), "user", F.lit(T0))

@@ -49,52 +49,54 @@ def test_R1_equals_batch_once_closed(spark, folder):
     assert pairs(spark.read.parquet(folder.out), *names) == pairs(batch, *names)
 
 
-def test_R4_continues_over_batches_and_restarts(spark, folder):
-    arrivals = [
-        _requests((1, "a", 0), (2, "a", 10), (3, "b", 0)),
-        _requests((4, "a", 5), (5, "a", 70), (6, "b", 1)),
-        _requests((7, "a", 20), (8, "b", 2), (9, "c", 0)),
-    ]
-    for rows in arrivals:
-        _arrive(spark, folder.inbox, rows, REQUESTS)
-        stream = windows.read_stream(spark, folder.inbox, files_per_batch=1)
-        limits.decide_stream(stream, folder.out, folder.counters, folder.checkpoint, limit=2).awaitTermination()
-    got = {i: (n, ok) for i, n, ok in pairs(spark.read.parquet(folder.out), "event_id", "request_number", "allowed")}
-    # Numbered by arrival: request 4 came after 2, although its clock is earlier.
-    assert got == {1: (1, True), 2: (2, True), 3: (1, True), 4: (3, False), 5: (1, True), 6: (2, True), 7: (4, False), 8: (3, False), 9: (1, True)}
-    counts = spark.read.parquet(f"{folder.counters}/counts").groupBy("user_id", "window_start").agg(F.sum("count").alias("count"))
-    assert pairs(counts, "user_id", "window_start", "count") == pairs(usage.request_counts(spark.read.parquet(folder.inbox)), "user_id", "window_start", "count")
+def _decide(spark, folder, *rows, **options):
+    """One more file arrives; a new query goes on from the checkpoint."""
+    _arrive(spark, folder.inbox, _requests(*rows), REQUESTS)
+    limits.decide_stream(windows.read_stream(spark, folder.inbox), folder.out, folder.checkpoint, **{"limit": 2, **options}).awaitTermination()
+    return {i: (n, ok, late) for i, n, ok, late in pairs(spark.read.parquet(folder.out), "event_id", "request_number", "allowed", "late")}
 
 
-def test_R4_repeated_batch_gives_the_same(spark, folder):
-    first = spark.createDataFrame(_requests((1, "a", 0), (2, "a", 1)), REQUESTS)
-    second = spark.createDataFrame(_requests((3, "a", 2)), REQUESTS)
-    limits.decide_batch(first, 0, folder.out, folder.counters, limit=2)
-    for _ in range(2):
-        limits.decide_batch(second, 1, folder.out, folder.counters, limit=2)
-        assert pairs(spark.read.parquet(folder.out), "event_id", "request_number") == [(1, 1), (2, 2), (3, 3)]
+def _counters(spark, folder):
+    state = spark.read.format("statestore").option("stateVarName", "count").load(folder.checkpoint)
+    return {(r.key.user_id, r.key._start_ms): r.value.n for r in state.collect()}
 
 
-def _decide(spark, folder, batch_id, *rows, **options):
-    limits.decide_batch(spark.createDataFrame(_requests(*rows), REQUESTS), batch_id, folder.out, folder.counters, limit=2, **options)
-    return {i: (n, ok, late) for i, n, ok, late in pairs(spark.read.parquet(folder.out), "event_id", "request_number", "allowed", "late")}
+def test_R4_continues_over_batches_and_restarts(spark, folder):
+    _decide(spark, folder, (1, "a", 0), (2, "a", 10), (3, "b", 0))
+    _decide(spark, folder, (4, "a", 5), (5, "a", 70), (6, "b", 1))
+    got = _decide(spark, folder, (7, "a", 20), (8, "b", 2), (9, "c", 0))
+    # Numbered by arrival: request 4 came after 2, although its clock is earlier.
+    assert got == {i: (*d, False) for i, d in {
+        1: (1, True), 2: (2, True), 3: (1, True), 4: (3, False), 5: (1, True), 6: (2, True), 7: (4, False), 8: (3, False), 9: (1, True)}.items()}
+    minute = {r.window_start: i for i, r in enumerate(usage.request_counts(spark.read.parquet(folder.inbox)).select("window_start").distinct().orderBy("window_start").collect())}
+    counts = pairs(usage.request_counts(spark.read.parquet(folder.inbox)), "user_id", "window_start", "count")
+    assert {(u, int(w.timestamp() * 1000)): n for u, w, n in counts} == _counters(spark, folder) and len(minute) == 2
+
+
+def test_R4_files_in_one_query_are_batches(spark, folder):
+    for rows in ([(1, "a", 0), (2, "a", 10)], [(3, "a", 5)], [(4, "a", 1), (5, None, 3), (6, "a", 2)]):
+        _arrive(spark, folder.inbox, _requests(*rows), REQUESTS)
+    stream = windows.read_stream(spark, folder.inbox, files_per_batch=1)
+    limits.decide_stream(stream, folder.out, folder.checkpoint, limit=2).awaitTermination()
+    numbers = {i: n for i, n in pairs(spark.read.parquet(folder.out), "event_id", "request_number")}
+    assert numbers == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1, 6: 5}
 
 
 def test_R4_a_clock_in_the_future_resets_nothing(spark, folder):
     ahead = 100 * 365 * 86400
-    _decide(spark, folder, 0, (1, "a", 0), (2, "a", 1), (3, "a", 2), (4, "b", ahead))
-    got = _decide(spark, folder, 1, (5, "a", 3))
+    _decide(spark, folder, (1, "a", 0), (2, "a", 1), (3, "a", 2), (4, "b", ahead))
+    got = _decide(spark, folder, (5, "a", 3))
     assert got[4] == (1, True, False) and got[5] == (4, False, False)
 
 
-def test_R2_R4_late_requests_are_named_and_old_counts_removed(spark, folder):
+def test_R2_R4_late_requests_are_named_and_old_counters_removed(spark, folder):
     past = -200 * 86400
-    _decide(spark, folder, 0, (1, "a", past), (2, "a", past + 1), (3, "a", past + 2), keep="1 hour")
-    _decide(spark, folder, 1, (4, "b", past + 7200), keep="1 hour")
-    got = _decide(spark, folder, 2, (5, "a", past + 3), (6, "b", past + 7201), keep="1 hour")
+    _decide(spark, folder, (1, "a", past), (2, "a", past + 1), (3, "a", past + 2), keep="1 hour")
+    _decide(spark, folder, (4, "b", past + 7200), keep="1 hour")
+    got = _decide(spark, folder, (5, "a", past + 3), (6, "b", past + 7201), keep="1 hour")
     # Never numbered from 1 again; the other user goes on.
     assert got[5] == (None, False, True) and got[6] == (2, True, False)
-    assert {r.batch for r in spark.read.parquet(f"{folder.counters}/counts").select("batch").distinct().collect()} == {1, 2}
+    assert {user for user, _ in _counters(spark, folder)} == {"b"}
 
 
 def test_streams_over_a_file_and_over_part_files(spark, folder, tmp_path):

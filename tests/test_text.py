@@ -1,3 +1,4 @@
+import re
 import sys
 
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ticketspark.functions import text
 from ticketspark.operators import cleaning
+from ticketspark.sources import tables
 
 
 @pytest.fixture(scope="module")
@@ -120,6 +122,62 @@ def test_W2_repeated_key_keeps_its_own_text(spark):
     assert pairs(cleaning.drop_duplicate_texts(df), "ticket_id", "ticket_text") == [(1, "copy"), (2, None), (2, "own")]
 
 
+def _plain_dedup(rows):
+    """Per text the smallest key, NULL last; NULL texts all stay."""
+    best = {}
+    for key, text in rows:
+        if text is not None:
+            best[text] = min(best.get(text, (True, 0)), (key is None, key or 0))
+    return sorted([(None if none else key, text) for text, (none, key) in best.items()] + [r for r in rows if r[1] is None], key=repr)
+
+
+@pytest.mark.parametrize("rows", [
+    [(1, "t"), (1, "t"), (2, "t")],
+    [(None, "t"), (1, "t"), (2, "t")],
+    [(None, "t"), (None, "t"), (None, "u"), (3, "v")],
+    [(None, None), (None, None), (1, None), (1, None), (1, "x"), (1, "x"), (None, "x")],
+    [(2, "a"), (2, "b"), (1, "b"), (1, "b"), (3, "a"), (3, "c"), (None, "c"), (None, "d"), (None, "d")],
+    [],
+])
+def test_W2_true_repeats_and_null_keys(spark, rows):
+    df = spark.createDataFrame(rows, "ticket_id long, ticket_text string").repartition(3)
+    kept = cleaning.drop_duplicate_texts(df)
+    assert sorted(pairs(kept, "ticket_id", "ticket_text"), key=repr) == _plain_dedup(rows)
+    long = df.withColumn("ticket_text", F.concat("ticket_text", F.lit(" " + sentence(10))))
+    assert cleaning.clean(long).count() == cleaning.clean_counters(long).first().kept
+
+
+def test_W2_leaves_a_bucketed_table_in_place(spark, tmp_path):
+    """Broadcast off: only the marks are exchanged, never the scan of the texts."""
+    rows = spark.range(400).select((F.col("id") % 300).alias("ticket_id"), F.concat(F.lit("t"), F.col("id") % 97).alias("ticket_text"))
+    names = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false"}
+    before = {n: spark.conf.get(n) for n in names}
+    table = tables.save_bucketed(rows, "w2_texts", str(tmp_path / "texts"), 4)
+    try:
+        for name, value in names.items():
+            spark.conf.set(name, value)
+        kept = cleaning.drop_duplicate_texts(table)
+        plan = kept._jdf.queryExecution().sparkPlan().toString()
+        whole = kept._jdf.queryExecution().executedPlan().toString()
+        assert sorted(pairs(kept, "ticket_id", "ticket_text"), key=repr) == _plain_dedup([tuple(r) for r in rows.collect()])
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+        spark.sql("DROP TABLE w2_texts")
+    assert "SortMergeJoin" in plan and "ticket_text" in whole
+    lines = whole.splitlines()
+    for at, line in enumerate(lines):
+        if "Exchange" in line:
+            depth = re.search(r"[A-Z]", line).start()
+            below = [later for later in lines[at + 1:] if re.search(r"[A-Z(]", later)]
+            inside = []
+            for later in below:
+                if re.search(r"[A-Z]", later).start() <= depth:
+                    break
+                inside.append(later)
+            assert not any("Scan" in x and "ticket_text" in x for x in inside)
+
+
 def test_W2_groups_digests_not_texts(spark):
     df = spark.createDataFrame([(1, "a")], "ticket_id long, ticket_text string")
     plan = cleaning.drop_duplicate_texts(df)._jdf.queryExecution().optimizedPlan().toString()

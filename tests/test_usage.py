@@ -129,3 +129,14 @@ def test_T3_null_and_repeated_keys(spark):
     df = spark.createDataFrame([(1,), (1,), (1,), (None,), (None,), (0,)], "k long")
     for n, want in ((0, []), (2, [0, 1]), (4, [0, 1, 1, 1]), (5, [0, 1, 1, 1, None]), (9, [0, 1, 1, 1, None, None])):
         assert sorted(column(ranking.first_rows(df, "k", n, 3), "k"), key=lambda k: (k is None, k or 0)) == want
+
+
+def test_T3_few_rows_are_cut_before_any_shuffle_and_nothing_is_written(spark, monkeypatch):
+    df = spark.range(10_000, numPartitions=8).select((F.col("id") * 7919 % 10_007).alias("k"), F.lit("x").alias("v"))
+    monkeypatch.setattr(ranking, "written", None)
+    rows = ranking.first_rows(df, "k", 1000)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    lines = plan.splitlines()
+    shuffle = next(i for i, line in enumerate(lines) if "Exchange" in line)
+    assert any("WindowGroupLimit" in line for line in lines[shuffle:]) and "TakeOrderedAndProject" in plan
+    assert sorted(column(rows, "k")) == sorted(i * 7919 % 10_007 for i in range(10_000))[:1000]

@@ -91,14 +91,28 @@ def dense_index(df: DataFrame, key: str, into: str = "index", parts: int | None
     )
 
 
+#: Tasks whose first rows meet in one task of the second level.
+TASKS_A_GROUP = 256
+
+
+def _few(df: DataFrame) -> int:
+    """Up to this rank Spark cuts groups before it shuffles them."""
+    return int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
+
+
 def first_rows(df: DataFrame, key: str | Sequence[str], n: int, parts: int | None = None) -> DataFrame:
     """T3. Exactly the first min(n, rows) rows in the order of ``key``.
 
     NULL keys come last, and repeated keys count row by row (which of them stays is open unless further key columns
-    tell them apart). Only the ranges before row ``n`` are ranked, each on its own; a plain ``orderBy().limit(n)``
-    would move n rows to one task.
+    tell them apart). For a few rows each task sends its own first ``n`` only, to one of several tasks that do the same, and
+    their first ``n`` meet in one; nothing is written. For many rows the table is cut into ranges, and only those before
+    row ``n`` are ranked, each on its own.
     """
     order = [F.col(k).asc_nulls_last() for k in ([key] if isinstance(key, str) else key)]
+    if 0 < n <= _few(df):
+        grouped = df.withColumn("_group", F.expr(f"spark_partition_id() div {TASKS_A_GROUP}"))
+        rank = F.row_number().over(Window.partitionBy("_group").orderBy(*order))
+        return grouped.withColumn("_rank", rank).where(F.col("_rank") <= n).orderBy(*order).limit(n).select(*df.columns)
     rows = in_ranges(df, order, parts)
     needed = _before(rows).where(F.col("_before") < n)
     inside = Window.partitionBy("_part").orderBy(*order)

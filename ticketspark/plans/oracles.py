@@ -525,3 +525,8 @@ ORACLES: dict[str, str] = {
     "stream_pending_scoring": f"WITH {_LOGITS} {_STORED_SCORES}",
 }
 ORACLES["saved_texts"] = ORACLES["existing_texts"]
+ORACLES["newest_maintained"] = ORACLES["latest_prediction"]
+ORACLES["triage_queue_maintained"] = ORACLES["triage_queue"]
+ORACLES["scored_index"] = ORACLES["unscored_default"]
+ORACLES["event_store_newest"] = ORACLES["event_log_filter"]
+ORACLES["purge_stored"] = f"SELECT table_name, n FROM ({ORACLES['purge_user_preview']}) WHERE step = 'after'"

@@ -28,8 +28,8 @@ from ticketspark.operators import (
 )
 from ticketspark.plans import bindings as B
 from ticketspark.plans import scoring
-from ticketspark.session import scratch_path, spread, written
-from ticketspark.sources import artifacts, datasets, tables, uploads
+from ticketspark.session import partitions, scratch_path, spread, written
+from ticketspark.sources import artifacts, datasets, event_store, maintained, purge, tables, uploads
 from ticketspark.streaming import limits, pending, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -137,6 +137,56 @@ def purge_user_preview(spark, sf_dir):
     return total
 
 
+@query
+def purge_stored(spark, sf_dir):
+    """The same owners, taken out of tables that several runs have written."""
+    path = scratch_path(spark, "purge")
+    customer = B.table(spark, sf_dir, "customer")
+    users = customer.where(F.col("c_acctbal") < 0).select(F.col("c_custkey").alias("user_id"))
+    predictions = B.predictions(spark, sf_dir)
+    stored = {
+        "tickets": (B.tickets(spark, sf_dir), F.year("created_at")),
+        "predictions": (predictions, F.year("created_at")),
+        "feedback": (predictions.select("prediction_id", F.lit("thumbs_up").alias("verdict")), F.pmod(F.xxhash64("prediction_id"), F.lit(3))),
+        "rate_limit_counters": (usage.request_counts(B.requests(spark, sf_dir), WINDOW), F.month("window_start")),
+    }
+    for name, (rows, run) in stored.items():
+        rows.withColumn(tables.RUN, run.cast("string")).write.partitionBy(tables.RUN).parquet(f"{path}/{name}")
+    purge.purge_stored(spark, users, *[f"{path}/{name}" for name in stored])
+    counts = [
+        spark.read.parquet(f"{path}/{name}").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), "n") for name in stored
+    ]
+    total = counts[0]
+    for part in counts[1:]:
+        total = total.unionByName(part)
+    return total
+
+
+def _newest_maintained(spark, sf_dir):
+    """Seven runs, the latest lines first; some are folded into the base, and one comes twice."""
+    rows = B.predictions(spark, sf_dir)
+    newest = maintained.newest_predictions(spark, scratch_path(spark, "newest"), partitions(spark), rows.schema)
+    for run in (7, 6, 5, 4, 4, 3, 2, 1):
+        newest.add(rows.where(F.col("latency_ms") == run), f"line-{run}")
+        if run in (6, 3):
+            newest.compact()
+    newest.compact()
+    return newest.rows()
+
+
+@query
+def newest_maintained(spark, sf_dir):
+    """The newest prediction per ticket, kept up by every run."""
+    return _newest_maintained(spark, sf_dir)
+
+
+@query
+def triage_queue_maintained(spark, sf_dir):
+    """The queue from one stored row per ticket."""
+    head = queue.triage_queue(B.tickets(spark, sf_dir), _newest_maintained(spark, sf_dir), limit=500)
+    return head.drop("text", "source", "resolved_at")
+
+
 # --- Selection and models ------------------------------------------------------------------------
 
 
@@ -145,6 +195,18 @@ def unscored_default(spark, sf_dir):
     return selection.select_for_scoring(B.tickets(spark, sf_dir), B.predictions(spark, sf_dir), VERSION)
 
 
+@query
+def scored_index(spark, sf_dir):
+    """What is left to score, from the index of scored ids that every run of the version keeps up."""
+    scored = B.predictions(spark, sf_dir).where(F.col("model_version") == VERSION)
+    index = maintained.scored_ids(spark, scratch_path(spark, "scored"), VERSION, partitions(spark), "long")
+    for run in (1, 2, 3):
+        index.add(scored.where(F.col("latency_ms") % 3 == run - 1), f"run-{run}")
+        if run == 2:
+            index.compact()
+    return maintained.unscored(B.tickets(spark, sf_dir), index).select("ticket_id", F.col("text").alias("ticket_text"))
+
+
 @query
 def unscored_since(spark, sf_dir):
     return selection.select_for_scoring(B.tickets(spark, sf_dir), B.predictions(spark, sf_dir), VERSION, since=SINCE)
@@ -769,6 +831,24 @@ def event_log_filter(spark, sf_dir):
     return newest.select("ts", "event_id", "severity", "event", "message")
 
 
+@query
+def event_store_newest(spark, sf_dir):
+    """The same from records stored by event and day; the last days are read backward."""
+    path = scratch_path(spark, "event-store")
+    names = F.when(F.col("event_type") == "error", "model_endpoint_error").when(
+        F.col("event_type") == "signup", "ticket_created"
+    ).otherwise("prediction")
+    severity = F.when(F.col("event_type") == "error", "ERROR").otherwise("INFO")
+    records = B.table(spark, sf_dir, "events").select(
+        "ts", "event_id", severity.alias("severity"), F.get_json_object("props", "$.k").alias("message"), names.alias("event"))
+    for run in (0, 1):
+        event_store.store_events(records.where(F.col("event_id") % 2 == run), path, str(run))
+    newest = event_store.newest_stored(
+        spark, path, "ts timestamp_ntz, event_id long, severity string, message string", ["model_endpoint_error", "ticket_created"],
+        ["ERROR"], 50, [F.desc("ts"), F.desc("event_id")])
+    return newest.select("ts", "event_id", "severity", "event", "message")
+
+
 # --- Files ---------------------------------------------------------------------------------------
 
 
@@ -875,13 +955,10 @@ def stream_request_decisions(spark, sf_dir):
         # Cut at noon, so that windows go on in the next micro-batch.
         part = requests if low is None else requests.where(F.col("ts") >= low)
         part = part if high is None else part.where(F.col("ts") < high)
-        part.coalesce(1).write.mode("append").parquet(f"{path}/arriving")
+        part.write.mode("append").parquet(f"{path}/arriving")
         low = high
-    arriving = windows.read_stream(spark, f"{path}/arriving", files_per_batch=1)
-    limits.decide_stream(
-        arriving, f"{path}/rows", f"{path}/counters", f"{path}/checkpoint",
-        limit=LIMIT, window=WINDOW,
-    ).awaitTermination()
+        arriving = windows.read_stream(spark, f"{path}/arriving")
+        limits.decide_stream(arriving, f"{path}/rows", f"{path}/checkpoint", limit=LIMIT, window=WINDOW).awaitTermination()
     rows = spark.read.parquet(f"{path}/rows")
     return rows.select(
         "event_id", "user_id", F.col("ts").cast("timestamp_ntz").alias("ts"),

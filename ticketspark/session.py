@@ -62,6 +62,19 @@ def is_folder(spark: SparkSession, path: str) -> bool:
     return store.exists(place) and store.getFileStatus(place).isDirectory()
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in ``path``, sorted; none where there is no such folder."""
+    store, place = _store(spark, path)
+    if not store.exists(place):
+        return []
+    return sorted(status.getPath().getName() for status in store.listStatus(place) if status.isDirectory())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    store, place = _store(spark, path)
+    return store.exists(place)
+
+
 def _clear(spark: SparkSession, root: str) -> None:
     # A session that has ended takes its intermediates' readers with it; nothing is left to reach the store by.
     if spark.sparkContext._jsc is not None:

@@ -1,89 +1,112 @@
-"""Allow or refuse requests as they arrive."""
+"""Allow or refuse requests as they arrive (R4, R2): one counter of keyed state per user and window."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ticketspark import schemas as S
-from ticketspark.operators.usage import in_windows, request_counts, request_decisions
-from ticketspark.session import remove
-from ticketspark.sources.tables import read_table
+from ticketspark.operators.usage import in_windows
+
+#: Keyed state with timers needs this store.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+}
+
+
+def _counter(limit: int, order: list[str], last: list[str]) -> StatefulProcessor:
+    """Defined in a function, so that it travels to the executors by value."""
+
+    class WindowCounter(StatefulProcessor):
+        """The state of a key is the number of its requests so far."""
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.count = handle.getValueState("count", "n long")
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            arrived = pd.concat(list(rows), ignore_index=True)
+            start = key[1]
+            if start is not None and start < timerValues.getCurrentWatermarkInMs():
+                arrived["request_number"] = pd.array([None] * len(arrived), "Int64")
+                arrived["allowed"], arrived["late"] = False, True
+            else:
+                before = self.count.get()[0] if self.count.exists() else 0
+                arrived = arrived.sort_values(order, ignore_index=True, kind="stable")
+                arrived["request_number"] = pd.array(range(before + 1, before + 1 + len(arrived)), "Int64")
+                arrived["allowed"], arrived["late"] = arrived["request_number"] <= limit, False
+                if not before and start is not None:
+                    self.handle.registerTimer(int(start) + 1)
+                self.count.update((before + len(arrived),))
+            yield arrived[last]
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            """R2. The window is closed; requests for it are late from now on."""
+            self.count.clear()
+            return iter(())
 
-MARKS = "batch long, newest timestamp, last_window timestamp"
+        def close(self) -> None:
+            pass
 
+    return WindowCounter()
 
-def decide_batch(
+
+def request_decisions_stream(
     requests: DataFrame,
-    batch_id: int,
-    decisions_path: str,
-    counters_path: str,
     limit: int = S.REQUESTS_PER_MINUTE,
     window: str = "minute",
     keep: str = "1 day",
     ahead: str = "5 minutes",
-) -> None:
-    """R4. Decisions for one micro-batch, continuing the counters of the batches before it.
+) -> DataFrame:
+    """R4. The stream's requests with window_start, request_number, allowed and late.
 
-    Requests are numbered by arrival: batch by batch, and inside a batch by time and id. A window is closed once
-    it starts more than ``keep`` before the newest request of *earlier* batches, where requests dated more than
-    ``ahead`` of the clock do not count, so a wrong clock closes nothing. A request for a closed window has
-    ``late`` set, no number, and is refused; it is never numbered from 1 again.
+    Requests are numbered by arrival: micro-batch by micro-batch, and inside one by time and id. A window is closed
+    once it starts more than ``keep`` before the newest request of *earlier* micro-batches, where requests dated more than
+    ``ahead`` of the clock do not count, so a wrong clock closes nothing. A request for a closed window has ``late`` set,
+    no number, and is refused; it is never numbered from 1 again.
 
-    Each batch writes the counts of its own requests only; a batch that is run again replaces them and its
-    decisions. Counts whose windows are all closed are removed (R2).
+    A counter is a value of keyed state, read and written by the micro-batches that have requests of its user and
+    window, and a timer removes it once its window is closed (R2): no batch looks at the others. All requests
+    of one key in one micro-batch meet in one task, narrow as they are; ``files_per_batch`` of the source bounds them.
     """
-    spark = requests.sparkSession
-    requests.persist()
+    rows = in_windows(requests, window)
+    given = rows.schema
+    time = F.col("ts").cast("timestamp")
+    in_time = F.when(time <= F.current_timestamp() + F.expr(f"interval {ahead}"), time)
+    # The clock moves the watermark and is left behind, so that Spark hands late rows on.
+    kept = rows.withColumn("_clock", in_time).withWatermark("_clock", keep).drop("_clock")
+    kept = kept.withColumn("_start_ms", F.unix_millis(F.col("window_start").cast("timestamp")))
+    out = T.StructType([
+        *given.fields, T.StructField("request_number", T.LongType()), T.StructField("allowed", T.BooleanType()),
+        T.StructField("late", T.BooleanType()),
+    ])
+    return kept.groupBy("user_id", "_start_ms").transformWithStateInPandas(
+        _counter(limit, ["ts", "event_id"], out.names), outputStructType=out, outputMode="append", timeMode="eventTime")
+
+
+def decide_stream(requests: DataFrame, decisions_path: str, checkpoint: str, **options) -> StreamingQuery:
+    """R4 over everything that has arrived so far: decisions are appended to a Parquet table, once each, and counters
+    live below the checkpoint."""
+    conf = requests.sparkSession.conf
+    before = {name: conf.get(name, None) for name in STORE}
+    for name, value in STORE.items():
+        conf.set(name, value)
     try:
-        marks = read_table(spark, f"{counters_path}/marks", T.StructType.fromDDL(MARKS)).where(F.col("batch") < batch_id)
-        # One time stamp and the list of batches whose windows are all closed.
-        newest = marks.agg(F.max("newest")).first()[0]
-        closed = F.lit(newest).cast("timestamp") - F.expr(f"interval {keep}")
-        rows = in_windows(requests, window).withColumn("late", F.coalesce(F.col("window_start").cast("timestamp") < closed, F.lit(False)))
-        live = rows.where("not late").drop("late", "window_start")
-
-        kinds = {f.name: f.dataType for f in rows.schema}
-        schema = T.StructType([
-            T.StructField("batch", T.LongType()), T.StructField("user_id", kinds["user_id"]),
-            T.StructField("window_start", kinds["window_start"]), T.StructField("count", T.LongType()),
-        ])
-        before = read_table(spark, f"{counters_path}/counts", schema).where(F.col("batch") < batch_id)
-        here = live.select("user_id").distinct()
-        earlier = before.join(here, "user_id", "left_semi").groupBy("user_id", "window_start").agg(F.sum("count").alias("_earlier"))
-        number = F.col("request_number") + F.coalesce("_earlier", F.lit(0))
-        decided = (
-            request_decisions(live, limit, window).drop("allowed").join(earlier, ["user_id", "window_start"], "left")
-            .withColumn("request_number", number).withColumn("allowed", F.col("request_number") <= limit)
-            .drop("_earlier").withColumn("late", F.lit(False))
-        )
-        refused = rows.where("late").withColumns({"request_number": F.lit(None).cast("long"), "allowed": F.lit(False)})
-        decided.unionByName(refused).write.mode("overwrite").parquet(f"{decisions_path}/batch={batch_id}")
-
-        request_counts(live, window).write.mode("overwrite").parquet(f"{counters_path}/counts/batch={batch_id}")
-        in_time = F.col("ts").cast("timestamp") <= F.current_timestamp() + F.expr(f"interval {ahead}")
-        mark = rows.agg(
-            F.max(F.when(in_time, F.col("ts").cast("timestamp"))).alias("newest"),
-            F.max(F.when(~F.col("late"), F.col("window_start").cast("timestamp"))).alias("last_window"),
+        # A query keeps the settings that it was started with.
+        return (
+            request_decisions_stream(requests, **options).writeStream.format("parquet")
+            .option("path", decisions_path)
+            .option("checkpointLocation", checkpoint)
+            .outputMode("append")
+            .trigger(availableNow=True)
+            .start()
         )
-        mark.write.mode("overwrite").parquet(f"{counters_path}/marks/batch={batch_id}")
-        for row in marks.where(F.coalesce(F.col("last_window") < closed, F.lit(False))).select("batch").collect():
-            remove(spark, f"{counters_path}/counts/batch={row['batch']}")
     finally:
-        requests.unpersist()
-
-
-def decide_stream(requests: DataFrame, decisions_path: str, counters_path: str, checkpoint: str, **options) -> StreamingQuery:
-    """R4 over everything that has arrived so far."""
-
-    def on_batch(batch: DataFrame, batch_id: int) -> None:
-        decide_batch(batch, batch_id, decisions_path, counters_path, **options)
-
-    return (
-        requests.writeStream.foreachBatch(on_batch)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+        for name, value in before.items():
+            conf.unset(name) if value is None else conf.set(name, value)
