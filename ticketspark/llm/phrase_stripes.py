@@ -9,8 +9,9 @@ one only one word longer with at least that count, so these two maxima decide su
 
 Blocks learn which of their entries are frequent, one bit each, and the first block that has one names it. A phrase with an
 infrequent part is infrequent, so a block goes on with the stretches of words in which every run of the last size is
-frequent; what is dropped could not have counted. Inside messages prefix and next word are 64-bit hashes each, so runs are told
-apart by 128 bits.
+frequent; what is dropped could not have counted. Inside a message a run is 40 bits of its prefix's hash and 40 independent
+bits of its own; with the range, itself a hash, runs are told apart by 80 bits and log2 of the ranges (seven or more from
+100 million words on): for ten billion distinct runs the chance that any two are taken for one is below one in a hundred million.
 
 A stripe's entries go to ranges by prefix and slice of the next word, which spreads a prefix that a third of all positions
 share, the empty prefix of single words above all; a block sends one entry per distinct run, however often it has it.
@@ -48,10 +49,12 @@ SUBSUMED = 80
 TOP = 2000
 SCALE = 2_000_000
 #: Words that a task counts at a time, and bytes of a text that it takes apart at a time.
-BLOCK_WORDS = 3_000_000
+BLOCK_WORDS = 2_000_000
 BLOCK_BYTES = 4 << 20
 #: Words of the input per range.
 RANGE_WORDS = 1_000_000
+#: Bytes of a key inside a message.
+KEY = 5
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -154,33 +157,40 @@ def hashes_of(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def keys_of(lang: str, found: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the prefix and of the next word of each run; together they tell runs apart."""
+def keys_of(lang: str, found: np.ndarray, words: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per run the key of its prefix, that of the whole run, and its range: by prefix, moved on by the slice of the next word."""
     prefix = np.full(found.shape[1], xxhash.xxh3_64_intdigest(lang.encode()), np.uint64)
     for numbers in found[:-1]:
         prefix = mix(prefix * GOLD + words[numbers])
-    return prefix, words[found[-1]]
+    following = words[found[-1]]
+    of = (mix(prefix, 13) + mix(following, 17)) % np.uint64(ranges)
+    return prefix, mix(prefix * GOLD + following, 1), of.astype(np.int64)
 
 
-def dealt(prefix: np.ndarray, following: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order of the runs by range, and the range of each: that of its prefix, moved on by the slice of its next word."""
-    of = ((mix(prefix, 13) + mix(following, 17)) % np.uint64(ranges)).astype(np.int64)
-    order = np.argsort(of, kind="stable")
-    return order, of[order]
+def packed(keys: np.ndarray) -> bytes:
+    """The low ``KEY`` bytes of each key."""
+    return np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)[:, :KEY].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    low = np.frombuffer(data, np.uint8).reshape(-1, KEY)
+    out = np.zeros((len(low), 8), np.uint8)
+    out[:, :KEY] = low
+    return out.view(np.uint64).ravel()
 
 
 def stripes_of(row: dict, size: int, ranges: int):
-    """(runs, counts, positions, run of each position, word hashes, order by range, range) of a block."""
+    """(runs, counts, positions, run of each position, words, prefix and run keys in order of the ranges, that order, ranges)."""
     found, counts, at, place = grams(np.frombuffer(unsqueezed(row["numbers"]), np.int32), size)
     spelled = unsqueezed(row["words"]).split(b"\n")
-    prefix, following = keys_of(row["lang"], found, np.concatenate([np.zeros(1, np.uint64), hashes_of(spelled)]))
-    order, of = dealt(prefix, following, ranges)
-    return found, counts, at, place, spelled, prefix[order], following[order], order, of
+    prefix, run, of = keys_of(row["lang"], found, np.concatenate([np.zeros(1, np.uint64), hashes_of(spelled)]), ranges)
+    order = np.argsort(of, kind="stable")
+    return found, counts, at, place, spelled, prefix[order], run[order], order, of[order]
 
 
-MESSAGES = "range long, block long, prefixes binary, words binary, counts binary"
+MESSAGES = "range long, block long, prefixes binary, runs binary, counts binary"
 MESSAGES_ARROW = pa.schema([
-    ("range", pa.int64()), ("block", pa.int64()), ("prefixes", pa.binary()), ("words", pa.binary()), ("counts", pa.binary())])
+    ("range", pa.int64()), ("block", pa.int64()), ("prefixes", pa.binary()), ("runs", pa.binary()), ("counts", pa.binary())])
 ANSWERS = "range long, block long, frequent binary, named binary, f binary"
 ANSWERS_ARROW = pa.schema([
     ("range", pa.int64()), ("block", pa.int64()), ("frequent", pa.binary()), ("named", pa.binary()), ("f", pa.binary())])
@@ -191,7 +201,7 @@ def sender(size: int, ranges: int):
         """A block's stripes, one row per range."""
         for batch in batches:
             for row in batch.to_pylist():
-                _, counts, _, _, _, prefix, following, order, of = stripes_of(row, size, ranges)
+                _, counts, _, _, _, prefix, run, order, of = stripes_of(row, size, ranges)
                 counts = counts[order].astype(np.uint32)
                 starts = np.flatnonzero(np.diff(of, prepend=-1))
                 cuts = list(zip(starts.tolist(), [*starts[1:].tolist(), len(of)], strict=True)) if len(of) else []
@@ -199,7 +209,8 @@ def sender(size: int, ranges: int):
                     part = cuts[lo:lo + 1000]
                     yield pa.RecordBatch.from_arrays([
                         pa.array([int(of[a]) for a, _ in part], pa.int64()), pa.array([row["block"]] * len(part), pa.int64()),
-                        *[pa.array([x[a:b].tobytes() for a, b in part], pa.binary()) for x in (prefix, following, counts)],
+                        *[pa.array([packed(x[a:b]) for a, b in part], pa.binary()) for x in (prefix, run)],
+                        pa.array([counts[a:b].tobytes() for a, b in part], pa.binary()),
                     ], schema=MESSAGES_ARROW)
 
     return send
@@ -210,13 +221,12 @@ def merger(least: int):
         """Stripes added element by element: which entries of each block are frequent, and how frequent those are that this
         block is the first to have."""
         group = group.sort_by("block")
-        parts = [[np.frombuffer(b, kind) for b in group.column(name).to_pylist()] for name, kind in (
-            ("prefixes", np.uint64), ("words", np.uint64), ("counts", np.uint32))]
-        lengths = [len(p) for p in parts[0]]
-        prefix, following, counts = (np.concatenate(p) for p in parts)
-        order = np.lexsort((following, prefix))
+        prefix, run = (np.concatenate([unpacked(b) for b in group.column(name).to_pylist()]) for name in ("prefixes", "runs"))
+        each = [np.frombuffer(b, np.uint32) for b in group.column("counts").to_pylist()]
+        lengths, counts = [len(c) for c in each], np.concatenate(each)
+        order = np.lexsort((run, prefix))
         new = np.ones(len(order), bool)
-        new[1:] = (np.diff(prefix[order]) != 0) | (np.diff(following[order]) != 0)
+        new[1:] = (np.diff(prefix[order]) != 0) | (np.diff(run[order]) != 0)
         starts = np.flatnonzero(new)
         sums = np.add.reduceat(counts[order].astype(np.int64), starts)
         whole = np.empty(len(order), np.int64)
