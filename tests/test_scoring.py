@@ -7,10 +7,10 @@ from conftest import T0, column, minutes, pairs
 from pyspark.sql import functions as F
 
 from ticketspark import schemas as S
-from ticketspark.operators import selection
+from ticketspark.operators import queue, selection
 from ticketspark.plans import scoring
 from ticketspark.session import scratch_path
-from ticketspark.sources import tables
+from ticketspark.sources import maintained, tables
 
 def run_ts():
     return F.lit(T0)
@@ -121,6 +121,28 @@ def test_M5_rerun_and_new_version(spark, texts):
     assert written.select("prediction_id").distinct().count() == 5
 
 
+def test_M5_with_an_index_reads_no_history(spark, texts):
+    scored = maintained.scored_ids(spark, scratch_path(spark, "ids"), "1", 2)
+    newest = maintained.newest_predictions(spark, scratch_path(spark, "newest"), 2)
+    kept = {"scored": scored, "newest": newest}
+    _, _, _, path = run(spark, texts("good text", " "), fixed_scorer(EVEN), **kept)
+    # The history is empty here: what is left follows from the index alone. Blank texts are selected again, as ever.
+    blind = selection.empty_predictions(spark)
+    options = {"on_summary": lambda line: None, **kept}
+    again = scoring.run_batch(texts("good text", " ", "ok"), blind, path, fixed_scorer(EVEN), "1", "run-1", "r2", run_ts(), **options)
+    assert (again.first().row_count, again.first().row_count_scored) == (2, 1)
+    # A run that is repeated does not find itself in the index.
+    repeat = scoring.run_batch(texts("good text", " ", "ok"), blind, path, fixed_scorer(EVEN), "1", "run-1", "r2", run_ts(), **options)
+    assert repeat.first().row_count_scored == 1 and tables.read_table(spark, path, S.PREDICTIONS).count() == 2
+    scored.compact()
+    newest.compact()
+    assert sorted(column(scored.rows(), "ticket_id")) == ["t0", "t2"]
+    full = queue.newest_prediction(tables.read_table(spark, path, S.PREDICTIONS))
+    assert pairs(newest.rows(), "ticket_id", "prediction_id") == pairs(full, "ticket_id", "prediction_id")
+    other = maintained.scored_ids(spark, scratch_path(spark, "ids"), "2", 2)
+    assert scoring.run_batch(texts("good text"), blind, path, fixed_scorer(EVEN), "2", None, "r3", run_ts(), on_summary=lambda line: None, scored=other).first().row_count == 1
+
+
 def test_S6_retry_replaces_its_own_rows(spark, texts):
     *_, path = run(spark, texts("good text", "ok"), fixed_scorer(EVEN))
     scored = scoring.score(texts("good text", "ok").select("ticket_id", F.col("text").alias("ticket_text")), fixed_scorer(EVEN))

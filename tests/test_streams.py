@@ -8,7 +8,7 @@ from ticketspark import schemas as S
 from ticketspark.operators import usage
 from ticketspark.plans import bindings as B
 from ticketspark.plans import scoring
-from ticketspark.sources import tables
+from ticketspark.sources import maintained, tables
 from ticketspark.streaming import limits, pending, windows
 
 
@@ -114,12 +114,15 @@ def test_streams_over_a_file_and_over_part_files(spark, folder, tmp_path):
 TICKETS = "ticket_id string, text string"
 
 
-def test_R3_scores_each_ticket_once(spark, folder):
+@pytest.mark.parametrize("indexed", [False, True])
+def test_R3_scores_each_ticket_once(spark, folder, indexed):
     scorer = scoring.column_scorer(B.text_features, B.text_logits)
 
     def step(version="1"):
         stream = windows.read_stream(spark, folder.inbox, files_per_batch=1)
-        pending.score_pending_stream(stream, folder.out, getattr(folder, "checkpoint" + version), scorer, version, "run", F.lit(T0)).awaitTermination()
+        index = maintained.scored_ids(spark, folder.ids, version, 2) if indexed else None
+        pending.score_pending_stream(
+            stream, folder.out, getattr(folder, "checkpoint" + version), scorer, version, "run", F.lit(T0), index).awaitTermination()
         return tables.read_table(spark, folder.out, S.PREDICTIONS)
 
     _arrive(spark, folder.inbox, [("t1", "some text"), ("t2", " ")], TICKETS)

@@ -24,6 +24,7 @@ from ticketspark.operators.events import event_lines
 from ticketspark.operators.selection import select_for_scoring, selection_mode
 from ticketspark.session import written
 from ticketspark.sources.artifacts import write_lines
+from ticketspark.sources.maintained import Maintained, unscored
 from ticketspark.sources.tables import RUN, append_predictions
 
 log = logging.getLogger(__name__)
@@ -154,6 +155,8 @@ def run_batch(
     on_summary: Callable[[str], None] = log.info,
     events_path: str | None = None,
     on_error: Callable[[str], None] = log.error,
+    scored: Maintained | None = None,
+    newest: Maintained | None = None,
 ) -> DataFrame:
     """M5. Select, score, append and summarise; returns the one-row summary.
 
@@ -162,13 +165,19 @@ def run_batch(
     the run's own folder there, dry runs included; a repeated run replaces its lines. The summary line is emitted for
     empty and for failed runs too, after the error line of the latter; a failed run has written no prediction, and
     repeating it with the same id is safe.
+
+    With ``scored``, the index of this model version, the selection reads neither predictions nor their folders, and the
+    run adds its tickets to it; with ``newest`` its predictions join the newest ones. Both are written after the predictions.
     """
     spark = tickets.sparkSession
     mode = selection_mode(since, ticket_ids, dry_run)
     started = spark.range(1).select(F.current_timestamp().alias("t")).first()["t"]
     staged = None
     try:
-        selected = select_for_scoring(tickets, predictions, model_version, since, ticket_ids)
+        if scored is None or ticket_ids is not None:
+            selected = select_for_scoring(tickets, predictions, model_version, since, ticket_ids)
+        else:
+            selected = unscored(tickets, scored, since, run_id).select("ticket_id", F.col("text").alias("ticket_text"))
         staged = written(score(selected, scorer), f"scored-{run_id}")
         if events_path is not None:
             named = staged.where("not skipped").withColumns({
@@ -179,6 +188,10 @@ def run_batch(
         if not dry_run:
             rows = prediction_rows(staged, model_version, model_run_id, run_id, run_ts)
             append_predictions(rows, predictions_path, run_id)
+            if scored is not None:
+                scored.add(staged.where("not skipped").select("ticket_id"), run_id)
+            if newest is not None:
+                newest.add(rows, run_id)
     except BaseException as error:
         record = spark.createDataFrame([(repr(error), traceback.format_exc())], "error string, traceback string")
         on_error(event_lines(record, "batch_predict.error").first()["value"])

@@ -62,10 +62,10 @@ class Maintained:
     def _runs(self) -> list[str]:
         return folders(self.spark, f"{self.path}/runs")
 
-    def rows(self) -> DataFrame:
+    def rows(self, but: str | None = None) -> DataFrame:
         """One row per key. Keys that no run touched come from the base as they are, without a shuffle; after a
-        compaction that is all of them."""
-        return self._merged(self._runs())
+        compaction that is all of them. ``but`` leaves a run out that is being repeated."""
+        return self._merged([run for run in self._runs() if run != f"{RUN}={but}"])
 
     def _merged(self, runs: list[str]) -> DataFrame:
         base = self.base()
@@ -80,7 +80,7 @@ class Maintained:
         return base.join(touched, self.key, "left_anti").select(*self.schema.names).unionByName(changed)
 
     def compact(self) -> None:
-        """Fold the runs there are now into the next base. The base before the last is removed, so queries that
+        """Fold the runs there are now into the next base; none of them may be repeated after that. The base before the last is removed, so queries that
         read the last one can end."""
         runs, bases = self._runs(), self._bases()
         if not runs:
@@ -112,9 +112,9 @@ def scored_ids(spark: SparkSession, path: str, model_version: str, buckets: int,
     return Maintained(spark, f"{path}/{version}", schema, (F.asc("ticket_id"),), buckets)
 
 
-def unscored(tickets: DataFrame, scored: Maintained, since=None) -> DataFrame:
-    """J3, P3. Tickets that are not in the index, optionally from a date on."""
+def unscored(tickets: DataFrame, scored: Maintained, since=None, but: str | None = None) -> DataFrame:
+    """J3, P3. Tickets that are not in the index, optionally from a date on; the run ``but`` is repeated."""
     if since is not None:
         tickets = tickets.where(F.col("created_at") >= F.lit(since).cast(tickets.schema["created_at"].dataType))
     # One row per ticket that is scored; the index is in place where tickets are bucketed alike.
-    return tickets.join(scored.rows(), "ticket_id", "left_anti")
+    return tickets.join(scored.rows(but), "ticket_id", "left_anti")
