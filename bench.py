@@ -50,6 +50,10 @@ HEADLINES = {
     "dedup_texts": ["documents"],
     "dataset_roundtrip": ["orders"],
     "purge_user_preview": ["orders", "lineitem", "events", "customer"],
+    "first_rows": ["orders"],
+    "newest_maintained": ["lineitem"],
+    "scored_index": ["orders", "lineitem"],
+    "event_store_newest": ["events"],
 }
 
 

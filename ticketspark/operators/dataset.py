@@ -115,7 +115,7 @@ def split_quotas(df: DataFrame, label: str, sizes: tuple[float, float, float] =
     """
     train, val, test = sizes
     if abs(train + val + test - 1.0) > 1e-6:
-        raise ValueError(f"split sizes must sum to 1, got {train + val + test}")
+        raise ValueError(f"the three parts make {train + val + test} of the rows, not all of them")
     whole = Window.partitionBy(F.lit(0))
     n_classes = F.count(F.lit(1)).over(whole)
     known = df.where(F.col(label).isNotNull())
