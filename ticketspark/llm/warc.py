@@ -282,5 +282,5 @@ def read_packages(packages: DataFrame, with_payload: bool = False) -> DataFrame:
                             [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], schema=schema)
 
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    # A task per package; a stated count is not merged again.
-    return packages.select("path").repartition(max(packages.count(), 1)).mapInArrow(run, schema + ", payload binary" * with_payload)
+    # A task per package: as many ranges as paths, and a stated count is not merged again.
+    return packages.select("path").repartitionByRange(max(packages.count(), 1), "path").mapInArrow(run, schema + ", payload binary" * with_payload)
