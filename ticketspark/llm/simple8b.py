@@ -295,8 +295,8 @@ def write_token_files(
 
 
 def _apart(files: DataFrame) -> DataFrame:
-    """A task per file; a stated count is not merged again."""
-    return files.select("path", "start").repartition(max(files.count(), 1))
+    """A task per file: as many ranges as paths, and a stated count is not merged again."""
+    return files.select("path", "start").repartitionByRange(max(files.count(), 1), "path")
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
