@@ -245,6 +245,9 @@ def test_op2(spark, pages):
         (4, 0, "response", None, b""), (5, len(big), "response", None, big), (5, len(big), "response", None, big),
         (7, 13, "response", None, b"a\r\n\r\nWARC/1.1"),
     ], key=repr)
+    # A task per package, however small they are.
+    tasks = warc.read_packages(packages).select(F.spark_partition_id().alias("task")).distinct().count()
+    assert tasks == packages.count() > 4
     digests = {r.page_id: r.payload_digest for r in warc.read_packages(packages).collect()}
     assert digests[1] == digests[2] == warc.payload_digest("<p>é".encode()) and len(digests[7]) == 32
     all_kept = warc.read_packages(warc.write_packages(pages, scratch_path(spark, "packages"), min_revisit_bytes=6))
