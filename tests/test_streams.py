@@ -1,3 +1,4 @@
+import os
 from datetime import timedelta
 
 import pytest
@@ -132,3 +133,27 @@ def test_R3_scores_each_ticket_once(spark, folder, indexed):
     assert pairs(done, "ticket_id", "model_version") == [("t1", "1"), ("t3", "1")]
     same = scoring.score(spark.createDataFrame([("t1", "some text"), ("t3", "more text")], "ticket_id string, ticket_text string"), scorer)
     assert pairs(done, "ticket_id", "predicted_priority", "confidence") == pairs(same, "ticket_id", "predicted_priority", "confidence")
+
+
+def test_R4_stores_go_by_cores(spark, folder):
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "40")
+    try:
+        got = _decide(spark, folder, (1, "a", 0), (2, "a", 10), (3, None, 0))
+        assert spark.conf.get(name) == "40"
+    finally:
+        spark.conf.set(name, before)
+    assert got == {1: (1, True, False), 2: (2, True, False), 3: (1, True, False)}
+    stores = [p for p in os.listdir(f"{folder.checkpoint}/state/0") if p.isdigit()]
+    assert len(stores) == spark.sparkContext.defaultParallelism
+
+
+def test_R4_whole_numbers_with_nulls_stay(spark, folder):
+    """Such a column held doubles on its way through pandas, which are exact to 2^53 only."""
+    big = 2**53 + 1
+    rows = [(2, "a", T0, None), (1, "a", T0, big), (None, "a", T0, big + 2), (3, "a", None, 5)]
+    _arrive(spark, folder.inbox, rows, REQUESTS + ", size long")
+    limits.decide_stream(windows.read_stream(spark, folder.inbox), folder.out, folder.checkpoint, limit=2).awaitTermination()
+    got = pairs(spark.read.parquet(folder.out), "event_id", "size", "request_number", "allowed")
+    assert got == [(None, big + 2, 3, False), (1, big, 1, True), (2, None, 2, True), (3, 5, 1, True)]
