@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ticketspark import schemas as S
 from ticketspark.operators import evaluation, events, generation
+from ticketspark.plans import queries
 from ticketspark.sources import artifacts, datasets, uploads
 
 
@@ -204,3 +205,13 @@ def test_S11(spark, tmp_path):
     assert column(events.newest_events(records, events=["prediction", "ticket_created"]), "event") == ["ticket_created", "prediction"]
     assert column(events.newest_events(records, severities=["ERROR"]), "event") == ["model_endpoint_error"]
     assert column(events.newest_events(records.where("event is not null"), limit=1), "ts") == ["2026-01-03"]
+
+
+def test_S2_S4_files_grow_in_number_not_in_rows(spark, tmp_path):
+    rows = spark.range(450_000).select(F.col("id").alias("ticket_id"), F.lit("x").alias("ticket_text"))
+    queries._in_files(rows, "ticket_id", str(tmp_path / "csv"))
+    back = datasets.read_csv(spark, str(tmp_path / "csv"), with_place=True)
+    sizes = [r["count"] for r in back.groupBy("_file").count().collect()]
+    assert len(sizes) == 5 and max(sizes) < 200_000
+    first = datasets.first_rows(back, datasets.PLACE, 3)
+    assert [r["ticket_id"] for r in first.collect()] == ["0", "1", "2"]

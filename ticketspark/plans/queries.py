@@ -904,8 +904,9 @@ def upload_tickets(spark, sf_dir):
 
 
 def _in_files(rows, key, path):
-    """CSV part files in the order of ``key``."""
-    datasets.write_dataset(rows.repartitionByRange(4, key).sortWithinPartitions(key), path, "csv")
+    """CSV part files in the order of ``key``, of at most some 100,000 rows each."""
+    parts = max(4, -(-rows.count() // 100_000))
+    datasets.write_dataset(rows.repartitionByRange(parts, key).sortWithinPartitions(key), path, "csv")
 
 
 @query
