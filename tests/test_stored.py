@@ -207,3 +207,17 @@ def test_S12_a_repeated_run_replaces_its_records(spark, tmp_path):
         event_store.store_events(rows, str(tmp_path), "1")
     assert event_store.newest_stored(spark, str(tmp_path), FIELDS).count() == 1
     assert event_store.newest_stored(spark, str(tmp_path / "none"), FIELDS).count() == 0
+
+
+def test_J10_keys_are_found_once_for_all_folders(spark, tmp_path):
+    path, seen = str(tmp_path / "rows"), spark.sparkContext.accumulator(0)
+    spark.range(30).select(F.col("id").alias("k"), (F.col("id") % 3).alias(tables.RUN)).write.partitionBy(tables.RUN).parquet(path)
+
+    def marked(i):
+        seen.add(1)
+        return i
+
+    gone = spark.range(0, 30, 5).select(F.udf(marked, "long")("id").alias("k"))
+    assert purge.delete_rows(spark, path, gone, "k") == ["0", "1", "2"]
+    assert sorted(r.k for r in spark.read.parquet(path).collect()) == [i for i in range(30) if i % 5]
+    assert seen.value <= 12

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketspark.session import exists, folders, remove
+from ticketspark.session import exists, folders, remove, written
 from ticketspark.sources.tables import RUN
 
 #: Where the rows that stay wait until all of them are written.
@@ -50,12 +50,15 @@ def delete_rows(spark: SparkSession, path: str, gone: DataFrame, key: str) -> li
         return []
     keys = gone.select(F.col(key).alias("_gone")).where("_gone is not null").distinct()
     table = spark.read.option("basePath", path).parquet(*[f"{path}/{run}" for run in runs])
-    held = table.withColumn("_run", _run_of_file()).join(keys, F.col(key) == F.col("_gone"), "left_semi")
+    # Who goes is found once for all folders, on the key alone; a folder then meets its own keys only.
+    places = table.select(key, _run_of_file().alias("_run")).join(keys, F.col(key) == F.col("_gone"), "left_semi")
+    held = written(places.select(F.col(key).alias("_gone"), "_run").distinct(), "purge-keys")
     # One row per folder that changes.
     hit = sorted(r["_run"] for r in held.select("_run").distinct().collect())
     for run in hit:
         rows = spark.read.parquet(f"{path}/{RUN}={run}")
-        rows.join(keys, F.col(key) == F.col("_gone"), "left_anti").write.parquet(f"{path}/{STAGED}/{RUN}={run}")
+        theirs = held.where(F.col("_run") == run).select("_gone")
+        rows.join(theirs, F.col(key) == F.col("_gone"), "left_anti").write.parquet(f"{path}/{STAGED}/{RUN}={run}")
     if hit:
         _mark(spark, f"{path}/{STAGED}/_READY")
         _finish(spark, path)
