@@ -229,6 +229,62 @@ def test_op8_near_copies_below_the_threshold_cost_few_pairs(spark, monkeypatch):
     assert len(pairs) == 1 and pairs[0] < 20 * n
 
 
+def test_op8_near_copies_with_shared_edits_cost_few_pairs(spark, monkeypatch):
+    """Every shingle is in many copies, so that all have room for partners of any size; most pairs share a band and miss
+    the threshold by some shingles."""
+    import random
+
+    import pyarrow as pa
+
+    base, draw, n = [f"b{i}" for i in range(150)], random.Random(5), 150
+    texts = []
+    for i in range(n):
+        words = list(base)
+        for place in draw.sample(range(5, 145, 5), 4):
+            words[place] = f"other{place}"
+        texts.append((i, " ".join(words)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    pairs, verify = [], bagminhash.verified
+    monkeypatch.setattr(bagminhash, "verified", lambda p, *rest: (pairs.append(p.count()), verify(p, *rest))[1])
+    documents, _, links = bagminhash.near_duplicates(docs)
+    got = {r.doc_id: r.class_id for r in documents.collect()}
+    left, right = zip(*((a, b) for a in range(n) for b in range(a)), strict=True)
+    column = pa.array([t for _, t in texts])
+    found = bagminhash.similarities(column.take(pa.array(left)), column.take(pa.array(right)))
+    parent = list(range(n))
+
+    def find(x):
+        return x if parent[x] == x else find(parent[x])
+
+    linked = [(a, b) for a, b, s in zip(left, right, found, strict=True) if s >= 0.8]
+    for a, b in linked:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    assert got == {i: find(i) for i in range(n)}
+    # After the first pivots only pairs that can be links were made.
+    assert sum(pairs[1:]) <= len(linked) + n
+
+
+def test_op8_parities_bound_what_texts_lack():
+    """Never more than the true number, for texts of one and of two lengths of bit strings, and close to it."""
+    import pyarrow as pa
+
+    from ticketspark.llm.word_hash import Words
+
+    words = [f"w{i % 211}" for i in range(300)]
+    other = [w if i % 50 else "new" for i, w in enumerate(words)]
+    bits = [np.array(p) for p in bagminhash.parities(pa.array([" ".join(words), " ".join(other), " ".join(words[:250]), "a", ""])).to_pylist()]
+    assert [len(b) for b in bits] == [16, 16, 8, 8, 8]
+    counts = [{}, {}, {}]
+    for d, h, c in zip(*bagminhash.shingle_counts(Words(pa.array([" ".join(words), " ".join(other), " ".join(words[:250])]))), strict=True):
+        counts[d][h] = c
+    folded = [b if len(b) == 8 else b[:8] ^ b[8:] for b in bits]
+    for a, b in ((0, 1), (0, 2), (1, 2)):
+        x, y = (bits[a], bits[b]) if len(bits[a]) == len(bits[b]) else (folded[a], folded[b])
+        true = sum(abs(counts[a].get(h, 0) - counts[b].get(h, 0)) for h in counts[a].keys() | counts[b].keys())
+        assert 0.7 * true <= np.bitwise_count((x ^ y).view(np.uint64)).sum() <= true
+
+
 @pytest.fixture(scope="module")
 def pages(spark):
     big = "<p>" + "x" * 300_000
