@@ -85,6 +85,18 @@ def test_op7_texts(text):
     assert pieces.Decoder(path)([None]) == [None]
 
 
+def test_op7_plain_texts_need_no_python_per_run():
+    """Only runs with bytes of longer characters are cut and looked up one by one; all is as in the library."""
+    path = vocabulary("piece_bpe_32k.model")
+    values = ["one two\nthree", None, "", " ", "a  b ", "\x00 a", "日本 語 x", "▁▁a", "é è"]
+    encoder, decoder = pieces.Encoder(path), pieces.Decoder(path)
+    raw = [np.frombuffer(r, "<i4") for r in encoder(values)]
+    assert [r.tolist() for r in raw] == [[*decoder.model.encode(v or ""), decoder.model.eos_id()] for v in values]
+    plain = decoder(raw[:5])
+    assert plain == [decoder.model.decode(r.tolist()) for r in raw[:5]] and not decoder.table
+    assert decoder(raw) == [decoder.model.decode(r.tolist()) for r in raw] and decoder.table
+
+
 def test_op4(spark, docs, none):
     import zlib
 
