@@ -97,6 +97,19 @@ def test_op7_plain_texts_need_no_python_per_run():
     assert decoder(raw) == [decoder.model.decode(r.tolist()) for r in raw] and decoder.table
 
 
+def test_op10_n_grams_of_many_words_at_once():
+    """The same buckets as word by word, whatever the width of the characters, and the same scores as text by text."""
+    words = ["", "a", "ab", "...", "<>", "don't", "(Word),", "é", "naïveté", "日本語", "🙂ab🙂", "x" * 40, "İi"]
+    flat, sizes = toxicity.bags(words)
+    bags = [toxicity.subwords(w) for w in words]
+    assert flat.tolist() == [b for bag in bags for b in bag] and sizes.tolist() == list(map(len, bags))
+    assert [len(a) for a in toxicity.bags([])] == [0, 0]
+    buckets = np.random.default_rng(3).normal(0, 1, toxicity.BUCKETS).astype(np.float32)
+    texts = [" ".join(words), None, "", *words]
+    together = toxicity.Scorer(buckets, -1.0, limit=4).all(texts)
+    assert together == [toxicity.Scorer(buckets, -1.0)(t) for t in texts]
+
+
 def test_op4(spark, docs, none):
     import zlib
 

@@ -53,6 +53,46 @@ def subwords(word: str) -> list[int]:
     return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in grams]
 
 
+def crc_steps() -> np.ndarray:
+    steps = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        steps = np.where(steps & 1, (steps >> 1) ^ np.uint32(0xEDB88320), steps >> 1)
+    return steps
+
+
+CRC = crc_steps()
+
+
+def bags(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``subwords`` of all words one after the other, and how many each has. All n-grams are hashed together: the crc32
+    of a run of characters goes on from that of the run one shorter."""
+    raw = [f"<{cleaned(word)}>" for word in words]
+    length = np.fromiter(map(len, raw), np.int64, len(raw))
+    sizes = np.maximum(sum(np.maximum(length - n + 1, 0) for n in (3, 4, 5)), 1)
+    flat = np.full(int(sizes.sum()), zlib.crc32(b"<>") % BUCKETS, np.int32)  # what a word without n-grams has
+    # Blanks behind the last character stand for those that the last runs lack.
+    data = np.frombuffer(("".join(raw) + " " * 5).encode("utf-8", "surrogatepass"), np.uint8)
+    at = np.flatnonzero((data & 0xC0) != 0x80)  # first bytes of characters
+    width = np.diff(np.append(at, len(data)))
+    n_chars = len(at) - 5
+    of = np.repeat(length, length)
+    left = np.repeat(np.cumsum(length), length) - np.arange(n_chars)  # characters from here to the end of the word
+    to = np.repeat(np.cumsum(sizes) - sizes, length) + of - left
+    state = np.full(n_chars, 0xFFFFFFFF, np.uint32)
+    for n in range(1, 6):
+        start, bytes_of = at[n - 1:n - 1 + n_chars], width[n - 1:n - 1 + n_chars]
+        state = CRC[(state ^ data[start]) & 255] ^ (state >> 8)
+        for byte in (1, 2, 3):
+            longer = np.flatnonzero(bytes_of > byte)
+            before = state[longer]
+            state[longer] = CRC[(before ^ data[start[longer] + byte]) & 255] ^ (before >> 8)
+        if n >= 3:
+            room = left >= n
+            flat[to[room]] = ~state[room] % BUCKETS
+            to = to + np.maximum(of - n + 1, 0)
+    return flat, sizes
+
+
 def group_sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, starts)
 
@@ -77,13 +117,9 @@ def fit(rows: Iterable[tuple[str, int]], steps: int = 100, rate: float = 0.1, de
     y = np.array(labels, np.int64)
     if len(y) == 0 or y.min() == y.max():
         return None
-    flat, bag_sizes = array("i"), array("i")
-    for word in known:
-        bag = subwords(word)
-        flat.extend(bag)
-        bag_sizes.append(len(bag))
+    flat, bag_sizes = (np.concatenate(x) for x in zip(*(bags(part) for part in cut(list(known))), strict=True))
     del known
-    tokens, sizes, spans_of, flat, bag_sizes = (np.frombuffer(x, np.int32) for x in (tokens, sizes, spans_of, flat, bag_sizes))
+    tokens, sizes, spans_of = (np.frombuffer(x, np.int32) for x in (tokens, sizes, spans_of))
     span_starts = np.cumsum(sizes) - sizes
     text_starts = np.cumsum(spans_of) - spans_of
     owner = np.repeat(np.arange(len(y)), spans_of)
@@ -126,25 +162,40 @@ def margins(weights: dict) -> tuple[np.ndarray, float]:
     return (weights["vectors"] @ side).astype(np.float32), float(weights["bias"][1] - weights["bias"][0])
 
 
+def cut(words: list[str], size: int = 1 << 14) -> Iterator[list[str]]:
+    for at in range(0, len(words), size):
+        yield words[at:at + size]
+
+
 class Scorer:
-    def __init__(self, buckets: np.ndarray, bias: float, limit: int = TABLE):
-        self.buckets, self.bias, self.limit, self.table = buckets.tolist(), bias, limit, {}
+    """Scores from a table of distinct words -> the mean of what their buckets add."""
 
-    def word(self, word: str) -> float:
-        made = self.table.get(word)
-        if made is None:
-            ids = subwords(word)
-            made = self.table[word] = sum(map(self.buckets.__getitem__, ids)) / len(ids)
-        return made
+    def __init__(self, buckets: np.ndarray, bias: float, limit: int = TABLE):
+        self.buckets, self.bias, self.limit, self.table = buckets.astype(float), bias, limit, {}
+
+    def learn(self, words: set[str]) -> None:
+        new = words - self.table.keys()
+        if len(self.table) + len(new) > self.limit:
+            self.table, new = {}, words
+        for part in cut(list(new)):
+            flat, sizes = bags(part)
+            added, ends = self.buckets[flat].tolist(), np.cumsum(sizes).tolist()
+            for word, a, b in zip(part, [0, *ends], ends, strict=False):
+                self.table[word] = sum(added[a:b]) / (b - a)
+
+    def all(self, texts: list[str | None]) -> list[float]:
+        words_of = [WORD.findall(text) if text else [] for text in texts]
+        self.learn(set().union(*words_of))
+        of_word, out = self.table.__getitem__, []
+        for words in words_of:
+            # Without words one empty span is left.
+            of_span = [sum(map(of_word, set(words[i:i + SPAN]))) for i in range(0, max(len(words), 1), SPAN)]
+            margin = np.array(of_span) / SPAN + self.bias
+            out.append(float(-np.expm1(-np.logaddexp(0, margin).sum())))
+        return out
 
     def __call__(self, text: str | None) -> float:
-        words = WORD.findall(text) if text else []
-        if len(self.table) > self.limit:
-            self.table.clear()
-        # Without words one empty span is left.
-        of_span = [sum(map(self.word, set(words[i:i + SPAN]))) for i in range(0, max(len(words), 1), SPAN)]
-        margin = np.array(of_span) / SPAN + self.bias
-        return float(-np.expm1(-np.logaddexp(0, margin).sum()))
+        return self.all([text])[0]
 
 
 def sample(docs: DataFrame, labels: DataFrame, learn_from: Column, label_col: str, max_rows: int) -> DataFrame:
@@ -202,7 +253,7 @@ def score(docs: DataFrame, weights: dict | None, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*model.value)
         for part in slices(batches):
-            made = pa.array([scorer(t) for t in part.column(1).to_pylist()], pa.float64())
+            made = pa.array(scorer.all(part.column(1).to_pylist()), pa.float64())
             yield pa.RecordBatch.from_arrays([part.column(0), made], ["doc_id", "score"])
 
     return frame.mapInArrow(run, f"doc_id {frame.schema['doc_id'].dataType.simpleString()}, score double")
@@ -229,6 +280,6 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*model.value)
         for part in slices(batches):
-            yield part.filter(pa.array([scorer(t) < 0.5 for t in part.column(at).to_pylist()], pa.bool_()))
+            yield part.filter(pa.array([score < 0.5 for score in scorer.all(part.column(at).to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
