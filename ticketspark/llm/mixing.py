@@ -123,9 +123,9 @@ def mixed_rows(
     )
 
 
-def mix_sources(docs: DataFrame, **options) -> DataFrame:
+def mix_sources(docs: DataFrame, *bounds, **options) -> DataFrame:
     """The rows of the mix with all columns of ``docs``, epoch, n_tokens, start and place."""
-    rows = mixed_rows(docs, **options)
+    rows = mixed_rows(docs, *bounds, **options)
     own = ["epoch", "n_tokens", "start", "place"]
     return rows.select(*[F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in own], *own)
 
