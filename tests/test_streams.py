@@ -157,3 +157,27 @@ def test_R4_whole_numbers_with_nulls_stay(spark, folder):
     limits.decide_stream(windows.read_stream(spark, folder.inbox), folder.out, folder.checkpoint, limit=2).awaitTermination()
     got = pairs(spark.read.parquet(folder.out), "event_id", "size", "request_number", "allowed")
     assert got == [(None, big + 2, 3, False), (1, big, 1, True), (2, None, 2, True), (3, 5, 1, True)]
+
+
+def test_R4_many_counters_in_a_bucket(spark, folder, monkeypatch):
+    """A group is a bucket, not a user and window: its counters still are apart, also beyond what the store is asked at once."""
+    monkeypatch.setattr(limits, "BUCKETS", 2)
+    monkeypatch.setattr(limits, "PACKET_ROWS", 100)
+    users = [None, *(f"u{i}" for i in range(400))]
+    first = [(i, u, (i % 3) * 60) for i, u in enumerate(users)]
+    got = _decide(spark, folder, *first)
+    assert set(got.values()) == {(1, True, False)} and len(got) == 401
+    again = [(1000 + 2 * i + k, u, (i % 3) * 60 + k) for i, u in enumerate(users) for k in range(2)]
+    got = _decide(spark, folder, *again)
+    assert {got[1000 + 2 * i] for i in range(401)} == {(2, True, False)} and {got[1001 + 2 * i] for i in range(401)} == {(3, False, False)}
+    counters = _counters(spark, folder)
+    assert len(counters) == 401 and set(counters.values()) == {3} and {user for user, _ in counters} == set(users)
+
+
+def test_R2_all_counters_of_closed_windows_go(spark, folder):
+    past = -200 * 86400
+    _decide(spark, folder, *((i, f"u{i}", past + i % 60) for i in range(700)), keep="1 hour")
+    assert len(_counters(spark, folder)) == 700
+    _decide(spark, folder, (1000, "b", past + 7200), keep="1 hour")
+    got = _decide(spark, folder, (1001, "u5", past + 5), keep="1 hour")
+    assert got[1001] == (None, False, True) and {user for user, _ in _counters(spark, folder)} == {"b"}
